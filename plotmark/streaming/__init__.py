@@ -1,0 +1 @@
+"""Every input of this library is a finished table, so nothing here runs as a stream."""
