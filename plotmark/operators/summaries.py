@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotmark.functions.scalars import col
 from plotmark.operators.skew import attach_groups
@@ -18,7 +18,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
     A sketch gives each group a narrow bracket that must hold the wanted rank. Rows
     are then counted below the bracket and, by distinct value, inside it; only those
-    few counts are ordered. No task holds the values of a whole group.
+    few counts are ordered. No task holds the values of a whole large group; a group
+    of up to SKETCH values is its own bracket.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
@@ -31,13 +32,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, SKETCH).alias("_e"),
     )
+    small = F.col("_n") <= SKETCH
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 ((F.col("_n") - 1) * p).alias("rank"),
-                (F.col("_min") if p <= margin else F.col("_e")[2 * i]).alias("lo"),
-                (F.col("_max") if p >= 1 - margin else F.col("_e")[2 * i + 1]).alias("hi"),
+                (F.col("_min") if p <= margin else F.when(small, F.col("_min")).otherwise(F.col("_e")[2 * i])).alias("lo"),
+                (F.col("_max") if p >= 1 - margin else F.when(small, F.col("_max")).otherwise(F.col("_e")[2 * i + 1])).alias("hi"),
             )
             for i, (name, p) in enumerate(zip(names, wanted))
         ]
@@ -69,8 +71,6 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
 
 def _window(keys: Sequence[str]):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -55,3 +55,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Like ``materialize``, with aggregates taken while the table is written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    return table, seen.get
