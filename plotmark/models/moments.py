@@ -8,7 +8,7 @@ are ordinary sums that every task reduces before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -96,13 +96,21 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absor
     return summed.select(*b, "n", "groups", _packed("m_", v).alias("means"), _packed("p_", names).alias("cross"))
 
 
-def batch_products(df: DataFrame, keys: Sequence[str], values: Sequence[str], weight: str | None = None) -> DataFrame:
+def batch_products(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    weight: str | None = None,
+    expand: Callable[[np.ndarray], np.ndarray] | None = None,
+    width: int | None = None,
+) -> DataFrame:
     """Rows (keys, i, j, s): products of all value columns summed per Arrow batch and task.
 
-    With ``weight``, each row's products are divided by it.
+    With ``weight``, each row's products are divided by it. ``expand`` turns the value
+    columns of a batch into ``width`` model columns.
     """
     keys, values = list(keys), list(values)
-    k = len(values)
+    k = width or len(values)
     iu, ju = np.triu_indices(k)
     schema = T.StructType(
         [df.schema[c] for c in keys]
@@ -122,6 +130,7 @@ def batch_products(df: DataFrame, keys: Sequence[str], values: Sequence[str], we
         for batch in batches:
             for key, part in batch.to_pandas().groupby(keys, sort=False):
                 x = part[values].to_numpy(float)
+                x = expand(x) if expand else x
                 w = x / part[weight].to_numpy(float)[:, None] if weight else x
                 sums[key] = sums.get(key, 0) + x.T @ w
                 if len(sums) >= FLUSH_GROUPS:
