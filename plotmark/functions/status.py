@@ -32,4 +32,4 @@ def fuse_status(a: Column | str, b: Column | str) -> Column:
 
 def combined_flag(flags: list[Column], observed: Column) -> Column:
     """1 if any flag is set, 0 if none, null when the entity was never observed (A2)."""
-    return F.when(observed > 0, F.greatest(*flags).cast("int"))
+    return F.when(observed > 0, F.array_max(F.array(*flags)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotmark.operators.skew import attach_groups, with_group_values
 
@@ -14,24 +14,17 @@ def coverage_filter(df: DataFrame, value: str, area: str, region: str, min_n: in
 
     Rows without an area are dropped; an area with an unknown rate is kept.
     """
-    df = df.filter(F.col(area).isNotNull())
-    areas = df.groupBy(area, region).agg(
+    df = df.filter(F.col(area).isNotNull()).withColumn("_region", F.coalesce(F.col(region).cast("string"), F.lit("")))
+    areas = df.groupBy(area, "_region").agg(
         F.count("*").alias("_size"), F.sum(value).alias("_sum"), F.count(value).alias("_n")
     )
-    by_region = areas.groupBy(region).agg((F.sum("_sum") / F.sum("_n")).alias("_region_rate"))
-    by_area = areas.groupBy(area).agg((F.sum("_sum") / F.sum("_n")).alias("_rate"), F.sum("_n").alias("_area_n"))
-    dropped = (F.col("_region_rate") == 0) | ((F.col("_rate") == 0) & (F.col("_area_n") >= min_n))
-    verdict = (
-        areas.select(area, region, "_size")
-        .join(by_region, region, "left")
-        .join(by_area, area, "left")
-        .select(area, region, "_size", (~F.coalesce(dropped, F.lit(False))).alias("_keep"))
-    )
-    # The region may be null where the area is not; the area alone then decides.
-    open_region = verdict.filter(F.col(region).isNull() & F.col("_keep")).select(area)
-    known = attach_groups(df.filter(F.col(region).isNotNull()), verdict.dropna(subset=[region]), [area, region], "_size")
-    unknown = df.filter(F.col(region).isNull()).join(open_region, area, "left_semi")
-    return known.filter("_keep").drop("_keep").unionByName(unknown)
+    # These windows run over one row per area, not over the records.
+    of_region, of_area = Window.partitionBy("_region"), Window.partitionBy(area)
+    empty_region = (F.sum("_n").over(of_region) > 0) & (F.sum("_sum").over(of_region) == 0) & (F.col("_region") != "")
+    area_n = F.sum("_n").over(of_area)
+    empty_area = (area_n > 0) & (area_n >= min_n) & (F.sum("_sum").over(of_area) == 0)
+    verdict = areas.select(area, "_region", "_size", (~F.coalesce(empty_region | empty_area, F.lit(False))).alias("_keep"))
+    return attach_groups(df, verdict, [area, "_region"], "_size").filter("_keep").drop("_keep", "_region")
 
 
 def support_filter(
@@ -109,7 +102,7 @@ def near_mode(df: DataFrame, keys: Sequence[str], value: str, width: float = 5)
 
 def group_size(df: DataFrame, keys: Sequence[str], name: str, no_name: Sequence[str] = ()) -> DataFrame:
     """Rows in each row's group; null where a key is missing or is a no-name value."""
-    known = {k: F.when(~F.col(k).isin(*no_name), F.col(k)) if no_name else F.col(k) for k in keys}
+    known = {k: F.when(~F.col(k).cast("string").isin(*no_name), F.col(k)) if no_name else F.col(k) for k in keys}
     marked = df.withColumns({f"_k_{k}": c for k, c in known.items()})
     return with_group_values(marked, [f"_k_{k}" for k in keys], **{name: F.count("*")}).drop(*[f"_k_{k}" for k in keys])
 

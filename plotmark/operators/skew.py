@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from plotmark.session import materialize_counted
+
+# One row per group; up to this many rows the aggregates are sent to every executor.
+MAX_BROADCAST_ROWS = 100_000
 # Any group outside the largest HEAVY_GROUPS holds under 1/HEAVY_GROUPS of the rows.
 HEAVY_GROUPS = 4096
 
@@ -13,17 +17,26 @@ HEAVY_GROUPS = 4096
 def attach_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, how: str = "left") -> DataFrame:
     """Join one row per group back to the rows of the group.
 
-    The largest groups (at most HEAVY_GROUPS rows of ``stats``, so bounded in size)
-    are broadcast and their rows never move. What is left has no large group and is
-    joined by key. Rows with a null key keep null values, as they belong to no group.
-    ``stats`` has one row per key and a row count column ``size``, which is dropped.
+    The aggregates are written first, which counts them. A small table is broadcast.
+    From a larger one only the biggest groups are, so their rows never move; what is
+    left has no large group and is joined by key. Rows with a null key keep null
+    values, as they belong to no group. ``stats`` has one row per key and a row count
+    column ``size``, which is dropped.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how must be left or inner, not {how}")
     keys = list(keys)
-    values = [c for c in stats.columns if c not in keys and c != size]
-    # One struct keeps every use of the aggregates alike, so Spark shares their shuffle.
-    packed = stats.select(*keys, F.col(size).alias("_size"), F.struct(F.lit(True).alias("_in"), *values).alias("_group"))
+    table, seen = materialize_counted(stats.withColumnRenamed(size, "_size"), "groups", rows=F.count("*"))
+    if seen["rows"] <= MAX_BROADCAST_ROWS:
+        joined = df.join(F.broadcast(table.drop("_size")), keys, how)
+        values = [c for c in stats.columns if c not in keys and c != size]
+        return joined.select(*df.columns, *values)
+    return _split_join(df, table, keys, how)
+
+
+def _split_join(df: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    values = [c for c in table.columns if c not in keys and c != "_size"]
+    packed = table.select(*keys, "_size", F.struct(F.lit(True).alias("_in"), *values).alias("_group"))
     heavy = packed.orderBy(F.col("_size").desc(), *keys).limit(HEAVY_GROUPS).drop("_size")
     marked = df.join(F.broadcast(heavy), keys, "left")
     no_key = F.lit(False)

@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotmark.operators.skew import attach_groups
-
-MAX_BROADCAST_ROWS = 100_000
+from plotmark.operators.skew import MAX_BROADCAST_ROWS, attach_groups
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,7 +32,7 @@ def lookup(
         raise ValueError(f"lookup key {on} is not unique")
     if (sizes["rows"] or 0) <= max_broadcast_rows:
         return df.join(F.broadcast(dim), on, how)
-    used = df.groupBy(*on).agg(F.count("*").alias("_rows")).join(dim, on)
+    used = df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows")).join(dim, on)
     return attach_groups(df, used, on, "_rows", how=how)
 
 
