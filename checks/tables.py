@@ -159,7 +159,7 @@ def group_identifier(spark, sf):
     ).drop("gid")
 
 
-@query("""WITH x AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), greatest(5, length(CAST(c_custkey AS VARCHAR))), '0') AS fips,
+@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END AS fips,
    lpad(CAST(c_custkey * 7919 % 10000000000 AS VARCHAR), 15, '0') AS block FROM customer)
  SELECT c_custkey, fips, 'G' || fips[1:2] || '0' || fips[3:] || '0' AS county, 'G' || fips[1:2] AS state,
    block[1:9] || block[11:13] AS blockgroup, block[1:9] AS tract FROM x""")

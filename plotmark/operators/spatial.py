@@ -105,15 +105,14 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataF
         return df.withColumn("_own", _level(extent))
 
     def side(df: DataFrame, id: str, tag: str, classes: Column) -> DataFrame:
-        listed = df.select(F.col(id), "min_x", "min_y", "max_x", "max_y", "_own").withColumn(
-            "_level", F.explode(F.filter(classes, lambda l: l >= F.col("_own")))
-        )
+        listed = df.select(F.col(id), "min_x", "min_y", "max_x", "max_y", "_own").withColumn("_level", F.explode(classes))
+        listed = listed.filter(F.col("_level") >= F.col("_own"))
         names = {c: f"{tag}_{c}" for c in ("min_x", "min_y", "max_x", "max_y", "_own")}
         return _cells(listed, F.col("_level")).withColumnsRenamed(names)
 
     a, b = sized(a), sized(b)
     classes = (
-        a.select("_own").unionByName(b.select("_own")).agg(F.array_sort(F.collect_set("_own")).alias("ls")).scalar()
+        a.select("_own").unionByName(b.select("_own")).agg(F.collect_set("_own").alias("ls")).scalar()
     )
     left, right = side(a, a_id, "a", classes), side(b, b_id, "b", classes)
     lo_x, lo_y = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
