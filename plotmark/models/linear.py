@@ -151,6 +151,13 @@ def _solution(stats: DataFrame, keys: list[str], p: int) -> DataFrame:
     return stats.select(*keys, "cross").mapInArrow(run, schema)
 
 
+def _give_back(df: DataFrame, stats: DataFrame, keys: list[str], size: str, single: bool) -> DataFrame:
+    """Group values joined to rows; a single group is one row and needs no counting."""
+    if single:
+        return df.join(F.broadcast(stats.drop(size)), keys)
+    return attach_groups(df, stats, keys, size)
+
+
 def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb: list[str], cluster: list[str]) -> DataFrame:
     """Moments and score products from one scan.
 
@@ -165,7 +172,7 @@ def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb:
         F.sum("n").alias("g_n"),
         *[F.expr(f"sum(n * m_{x}) / sum(n) AS g_{x}") for x in v],
     )
-    moved = attach_groups(cells, groups, [*b, *a], "_size")
+    moved = _give_back(cells, groups, [*b, *a], "_size", not by and not a)
     around = [
         F.expr(f"sum(p_{i}_{j} + n * (m_{v[i]} - g_{v[i]}) * (m_{v[j]} - g_{v[j]})) AS p_{i}_{j}") for i, j in pairs
     ]
@@ -179,7 +186,7 @@ def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb:
         F.count("*").alias("groups"), F.array(*[F.expr(f"sum(g_n * g_{x}) / sum(g_n)") for x in v]).alias("means")
     )
     beta = _solution(sums, b, p).join(sums.select(*b, "clusters"), b)
-    scored = attach_groups(clusters, beta, b, "clusters")
+    scored = _give_back(clusters, beta, b, "clusters", not by)
 
     def entry(i: int, j: int) -> str:
         return f"p_{min(i, j)}_{max(i, j)}"
@@ -201,7 +208,7 @@ def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: li
     p = len(v) - 1
     xs = v[:p]
     beta = _solution(stats, b, p).join(stats.select(*b, "n"), b)
-    moved = attach_groups(shifted(work, v).drop("_c"), beta, b, "n")
+    moved = _give_back(shifted(work, v).drop("_c"), beta, b, "n", not by)
     fitted = " - ".join([v[p], *[f"{x} * beta[{i}]" for i, x in enumerate(xs)]])
     cells = moved.withColumn("e", F.expr(fitted)).groupBy(*b, *a, *c).agg(
         F.count("*").alias("n"),
@@ -215,7 +222,7 @@ def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: li
         F.expr("sum(e) / sum(n) AS g_e"),
         *[F.expr(f"sum(x_{x}) / sum(n) AS g_{x}") for x in xs],
     )
-    near = attach_groups(cells, groups, [*b, *a], "_size")
+    near = _give_back(cells, groups, [*b, *a], "_size", not by and not a)
     scores = [F.expr(f"sum(xe_{x} - g_e * x_{x} - g_{x} * e + n * g_{x} * g_e) AS s_{x}") for x in xs]
     clusters = materialize(near.groupBy(*b, *c).agg(*scores), "scores")
     meat = pack_products(batch_products(clusters, b, [f"s_{x}" for x in xs]), b).withColumnRenamed("cross", "meat")

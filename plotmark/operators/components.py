@@ -45,8 +45,8 @@ def _step(labels: DataFrame, roots: DataFrame) -> DataFrame:
 def _follow(hooks: DataFrame) -> DataFrame:
     """Point every node at the end of its hook chain, doubling the step each time."""
     while True:
-        ahead = _step(hooks, hooks)
-        further = _step(ahead.select("node", F.col("_next").alias("root")), hooks)
+        ahead = _step(hooks, hooks).select("node", F.col("_next").alias("root"))
+        further = _step(ahead, ahead)
         table, seen = materialize_counted(
             further, "roots", moved=F.count_if(F.col("_next") != F.col("root"))
         )
