@@ -40,7 +40,7 @@ def test_ratio_age_and_caps(spark):
 
 
 def test_half_even_percent(spark):
-    assert column(spark, [0.125, 0.135, 0.345], "double", S.percent("x")) == [12.0, 14.0, 34.0]
+    assert column(spark, [0.125, 0.135, 0.345], "double", S.percent("x")) == pytest.approx([12, 14, 34])
 
 
 def test_zip_and_padding(spark):
@@ -55,8 +55,8 @@ def test_metro_name(spark):
 
 def test_geography_keys(spark):
     assert column(spark, ["48113"], "string", S.gisjoin_county("x")) == ["G4801130"]
-    assert column(spark, ["481130001002003"], "string", S.blockgroup_id("x")) == ["481130001" + "020"[0:0] + "200"[0:0] + "481130001002003"[10:13]]
-    assert column(spark, ["G48011300001002"], "string", S.blockgroup_from_gisjoin("x")) == ["48" + "113" + "0001" + "002"[:3]]
+    assert column(spark, ["481130001002003"], "string", S.blockgroup_id("x")) == ["481130001020"]
+    assert column(spark, ["G48011300012003"], "string", S.blockgroup_from_gisjoin("x")) == ["481130012003"]
 
 
 def test_day_numbers(spark):

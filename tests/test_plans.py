@@ -8,6 +8,7 @@ from plotmark.sources import layout
 
 
 def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
