@@ -208,7 +208,7 @@ def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: li
     p = len(v) - 1
     xs = v[:p]
     beta = _solution(stats, b, p).join(stats.select(*b, "n"), b)
-    moved = _give_back(shifted(work, v).drop("_c"), beta, b, "n", not by)
+    moved = _give_back(shifted(work, v), beta, b, "n", not by)
     fitted = " - ".join([v[p], *[f"{x} * beta[{i}]" for i, x in enumerate(xs)]])
     cells = moved.withColumn("e", F.expr(fitted)).groupBy(*b, *a, *c).agg(
         F.count("*").alias("n"),

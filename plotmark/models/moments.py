@@ -12,13 +12,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plotmark.operators.skew import attach_groups
 
 # Up to this many columns, products are summed by column expressions; beyond, per Arrow batch.
-NARROW = 12
+NARROW = 7
 # Groups a task keeps in memory before it hands their sums on.
 FLUSH_GROUPS = 256
 
@@ -128,11 +129,11 @@ def batch_products(
     def run(batches):
         sums: dict = {}
         for batch in batches:
-            for key, part in batch.to_pandas().groupby(keys, sort=False):
-                x = part[values].to_numpy(float)
-                x = expand(x) if expand else x
-                w = x / part[weight].to_numpy(float)[:, None] if weight else x
-                sums[key] = sums.get(key, 0) + x.T @ w
+            table = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values])
+            scale = 1 / batch.column(weight).to_numpy(zero_copy_only=False).astype(float) if weight else None
+            for key, at in _positions(batch, keys):
+                x = expand(table[at]) if expand else table[at]
+                sums[key] = sums.get(key, 0) + x.T @ (x * scale[at, None] if weight else x)
                 if len(sums) >= FLUSH_GROUPS:
                     yield rows(sums)
                     sums = {}
@@ -143,6 +144,17 @@ def batch_products(
     return df.select(*used).mapInArrow(run, schema)
 
 
+def _positions(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[tuple, object]]:
+    """Row positions of every key in a batch; one slice when the batch has a single key."""
+    if batch.num_rows == 0:
+        return []
+    columns = [batch.column(k) for k in keys]
+    if all(len(pc.unique(c)) == 1 for c in columns):
+        return [(tuple(c[0].as_py() for c in columns), slice(None))]
+    found = pa.Table.from_batches([batch]).select(keys).to_pandas().groupby(keys, sort=False, dropna=False).indices
+    return [(tuple(c[int(at[0])].as_py() for c in columns), at) for at in found.values()]
+
+
 def pack_products(products: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum (i, j) entries per key and list them as the upper triangle ``cross``."""
     entries = products.groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
@@ -150,26 +162,30 @@ def pack_products(products: DataFrame, keys: Sequence[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.transform(listed, lambda e: e["s"]).alias("cross"))
 
 
+def centre_of(work: DataFrame, v: Sequence[str]) -> Column:
+    """Overall means as one struct."""
+    return work.agg(F.struct(*[F.avg(x).alias(x) for x in v]).alias("c")).scalar()
+
+
 def shifted(work: DataFrame, v: Sequence[str]) -> DataFrame:
     """Values around their overall means, so that large offsets do not swamp the products."""
-    centre = work.agg(F.struct(*[F.avg(x).alias(x) for x in v]).alias("c")).scalar()
-    return work.withColumn("_c", centre).select(
-        *[c for c in work.columns if c not in v], "_c", *[(F.col(x) - F.col(f"_c.{x}")).alias(x) for x in v]
-    )
+    moved = work.withColumn("_c", centre_of(work, v))
+    return moved.select(*[c for c in work.columns if c not in v], *[(F.col(x) - F.col(f"_c.{x}")).alias(x) for x in v])
 
 
 def _wide_moments(work: DataFrame, b: list[str], a: list[str], v: list[str]) -> DataFrame:
     moved = shifted(work, v)
-    groups = moved.groupBy(*b, *a).agg(F.count("*").alias("n"), F.first("_c").alias("_c"), *[F.sum(x).alias(x) for x in v])
+    groups = moved.groupBy(*b, *a).agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in v])
     total = batch_products(moved, b, v)
     between = batch_products(groups, b, v, weight="n").withColumn("s", -F.col("s"))
     cross = pack_products(total.unionByName(between), b)
     counts = groups.groupBy(*b).agg(
         F.sum("n").alias("n"),
         F.count("*").alias("groups"),
-        F.array(*[F.expr(f"first(_c.{x}) + sum({x}) / sum(n)") for x in v]).alias("means"),
+        *[F.expr(f"sum({x}) / sum(n)").alias(x) for x in v],
     )
-    return counts.join(cross, b)
+    means = F.array(*[F.expr(f"_c.{x} + {x}") for x in v])
+    return counts.withColumn("_c", centre_of(work, v)).select(*b, "n", "groups", means.alias("means")).join(cross, b)
 
 
 def gram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

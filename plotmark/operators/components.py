@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotmark.session import materialize_counted
+from plotmark.session import materialize, materialize_counted
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen["rows"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-        roots = _follow(hooks)
+        roots = _follow(materialize(hooks, "hooks"))
         labels = roots if first else _step(labels, roots).select("node", F.col("_next").alias("root"))
         first = False
         moved = (

@@ -161,6 +161,7 @@ def _dense_links(spots: DataFrame, cells: DataFrame, u: list[str], c: list[str])
             .distinct()
             .join(boxes, ["node", "part"])
         )
+        split = materialize(split, "split")
         halves = [F.when(F.col(x) * 2 >= F.col(l) + F.col(h), "1").otherwise("0") for x, l, h in zip(u, lo, hi)]
         parted = points.join(split, ["node", "part"]).select(
             "node", F.col("part").alias("from_part"), F.concat("part", *halves).alias("part"), *u

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotmark.session import materialize_counted
+from plotmark.session import materialize, materialize_counted
 
 # One row per group; up to this many rows the aggregates are sent to every executor.
 MAX_BROADCAST_ROWS = 100_000
@@ -35,6 +35,8 @@ def attach_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], size: st
 
 
 def _split_join(df: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    # Written once, as both branches read it and a caller may attach again.
+    df = materialize(df, "rows")
     values = [c for c in table.columns if c not in keys and c != "_size"]
     packed = table.select(*keys, "_size", F.struct(F.lit(True).alias("_in"), *values).alias("_group"))
     heavy = packed.orderBy(F.col("_size").desc(), *keys).limit(HEAVY_GROUPS).drop("_size")

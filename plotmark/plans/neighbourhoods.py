@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plotmark.functions.status import cutoff_status, fuse_status
-from plotmark.operators.areas import group_share, group_size, with_mode
+from plotmark.operators.areas import group_mode, group_share
 from plotmark.operators.dbscan import dbscan
+from plotmark.operators.skew import attach_groups
 from plotmark.plans import codes
 from plotmark.session import materialize
 
@@ -47,13 +48,21 @@ def infer_neighbourhood_status(
     df = df.withColumn("hoa_cluster", cutoff_status("_cluster_share", lo, hi))
 
     named = ["county", "LegalSubdivisionName"]
-    df = group_size(df, named, "_named", no_name=[DROPPED])
-    usable = F.col("_named") >= min_n
-    df = df.withColumn("_subdivision", F.when(usable, F.col("LegalSubdivisionName")))
-    df = group_share(df, ["county", "_subdivision"], "hoa", "_subdiv_share", min_n)
+    usable = F.col("_size") >= min_n
+    subdivisions = (
+        labelled.dropna(subset=named)
+        .filter(F.col("LegalSubdivisionName") != DROPPED)
+        .groupBy(*named)
+        .agg(F.count("*").alias("_size"), F.avg("hoa").alias("_subdiv_share"))
+        .join(group_mode(labelled, named, "YearBuilt", "YearBuilt_mode").drop("group_n"), named)
+        .filter(usable)
+    )
+    df = attach_groups(df, subdivisions, named, "_size")
     df = df.withColumn("hoa_subdiv", cutoff_status("_subdiv_share", lo, hi))
     if keep_dropped_mode:
-        df = df.fillna({"_subdivision": DROPPED})
-    df = with_mode(df, ["county", "_subdivision"], "YearBuilt", "YearBuilt_mode")
+        pooled = F.when(F.col("YearBuilt_mode").isNull(), F.col("county")).alias("county")
+        modes = group_mode(df.select(pooled, "YearBuilt"), ["county"], "YearBuilt", "_pooled_mode")
+        df = attach_groups(df, modes, ["county"], "group_n")
+        df = df.withColumn("YearBuilt_mode", F.coalesce("YearBuilt_mode", "_pooled_mode"))
     df = df.withColumn("hoa_neigh", fuse_status("hoa_cluster", "hoa_subdiv"))
     return df.select("RowID", "cluster", "hoa_cluster", "hoa_subdiv", "hoa_neigh", "YearBuilt_mode")
