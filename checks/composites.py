@@ -196,7 +196,7 @@ CENSUS = """cen AS (SELECT n_nationkey, 1000 + n_nationkey * 10 AS total_pop, 40
   CASE WHEN n_nationkey % 5 > 0 THEN 50000.0 + n_nationkey END AS med_hs_income FROM nation)"""
 
 
-@query(f"""WITH {SQL_STATUS}, {CENSUS}, a AS (SELECT county, avg(hoa) AS f FROM parcels GROUP BY 1 HAVING count(*) >= 55),
+@query(f"""WITH {SQL_STATUS}, {CENSUS}, a AS (SELECT county, avg(hoa) AS f FROM parcels GROUP BY 1 HAVING count(*) >= 3),
  j AS (SELECT *, white * 1.0 / total_pop AS ws, black * 1.0 / total_pop AS bs FROM a JOIN cen ON n_nationkey = county),
  w AS (SELECT 'hoa' AS weight, total_pop * f AS wt, ws, bs, med_hs_income AS inc FROM j UNION ALL SELECT 'nonhoa', total_pop * (1 - f), ws, bs, med_hs_income FROM j)
  SELECT weight, round(sum(wt * ws) / sum(wt), 6) AS white_geoid, round(sum(wt * bs) / sum(wt), 6) AS black_geoid, round(sum(wt * inc) / sum(wt) FILTER (inc IS NOT NULL), 4) AS med_hs_income FROM w GROUP BY 1""")
@@ -210,7 +210,7 @@ def census_profile(spark, sf):
         F.when(F.col("n_nationkey") % 5 > 0, 50000.0 + F.col("n_nationkey")).alias("med_hs_income"),
     )
     census = census.withColumn("GISJOIN", F.concat(F.substring("GISJOIN", 1, 8), F.lit("0010001")))
-    profile, _ = profiles.census_weighted_profile(homes_, census, ["white", "black"], min_n=55)
+    profile, _ = profiles.census_weighted_profile(homes_, census, ["white", "black"], min_n=3)
     return profile.select("weight", *[r6(c).alias(c) for c in ("white_geoid", "black_geoid")], r6("med_hs_income", 4).alias("med_hs_income"))
 
 

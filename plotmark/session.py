@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# All intermediate tables of this driver process share one folder.
+RUN = uuid.uuid4().hex
 
 
 def local_session(cores: int | str = 8, name: str = "plotmark") -> SparkSession:
@@ -43,7 +45,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/plotmark/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark).rstrip('/')}/plotmark-{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this run's intermediate tables, once its results have been written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/plotmark-{RUN}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -72,8 +72,32 @@ def test_sampled_groups_are_whole(spark):
     assert len(got) == 10 and all(counts[k] == n for k, n in got.items())
 
 
-def test_scratch_folder_follows_the_session(spark, monkeypatch, tmp_path):
+def test_scratch_tables_lie_in_one_folder_and_can_be_dropped(spark, monkeypatch, tmp_path):
     from plotmark import session
 
     assert session.scratch_dir(spark) == session.scratch_dir(spark)
-    assert spark.sparkContext.getCheckpointDir() is not None
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(3), "t").count() == 3
+    assert len(list(tmp_path.glob(f"plotmark-{session.RUN}/t-*"))) == 1
+    session.drop_scratch(spark)
+    assert not list(tmp_path.glob("plotmark-*"))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from plotmark import session
+
+    class Conf:
+        def get(self, key, default):
+            return self.value
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://somewhere"
+
+    Conf.value = None
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(Session())
+    Conf.value = "hdfs://shared/folder"
+    assert session.scratch_dir(Session()) == "hdfs://shared/folder"
