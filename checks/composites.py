@@ -223,13 +223,27 @@ def census_profile(spark, sf):
  UNION ALL SELECT 'hoa, used', CAST(hoa AS VARCHAR), count(*), round(avg(price), 2), round(avg(bd), 6) FROM j WHERE used AND hoa IS NOT NULL GROUP BY 2
  UNION ALL SELECT 'hoa_neigh, used', CAST(neigh AS VARCHAR), count(*), round(avg(price), 2), round(avg(bd), 6) FROM j WHERE used GROUP BY 2""")
 def property_summary(spark, sf):
+    means, _ = profiles.group_summary_table(built(spark, sf), sold_parcels(spark, sf), ["lprice", "bdrms"])
+    return means.select("grouping", "value", "n", r6("lprice", 2).alias("lprice"), r6("bdrms").alias("bdrms"))
+
+
+def sold_parcels(spark, sf):
     day = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1960-01-01"))).cast("double") + 3650
-    tx = table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("TransId"), F.col("o_custkey").alias("RowID"), F.log("o_totalprice").alias("lprice"), (F.col("o_orderkey") % 4).alias("bdrms"),
         day.alias("DocumentDate"), F.when(F.col("o_orderstatus") == "F", "H").otherwise("D").alias("DataClassStndCode"), F.lit("warranty").alias("deed_type"),
     )
-    means, _ = profiles.group_summary_table(built(spark, sf), tx, ["lprice", "bdrms"])
-    return means.select("grouping", "value", "n", r6("lprice", 2).alias("lprice"), r6("bdrms").alias("bdrms"))
+
+
+@query(f"""WITH {BUILT}, f AS (SELECT * FROM (SELECT o_custkey AS RowID, date_diff('day', DATE '1960-01-01', CAST(o_orderdate AS DATE)) + 3650 AS dd, o_orderstatus = 'F' AS h,
+   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i = 1), j AS (SELECT * FROM q LEFT JOIN f USING (RowID))
+ SELECT 'hoa' AS status, CAST(hoa AS VARCHAR) AS value, count(*) AS all_rows, count(*) FILTER (YearBuilt >= 1960) AS built_1960, count(*) FILTER (YearBuilt >= 1960 AND dd >= 16425) AS sold_since,
+  count(*) FILTER (YearBuilt >= 1960 AND dd >= 16425 AND h) AS with_mortgage FROM j GROUP BY 2
+ UNION ALL SELECT 'hoa_neigh', CAST(neigh AS VARCHAR), count(*), count(*) FILTER (YearBuilt >= 1960), count(*) FILTER (YearBuilt >= 1960 AND dd >= 16425),
+  count(*) FILTER (YearBuilt >= 1960 AND dd >= 16425 AND h) FROM j GROUP BY 2""")
+def property_attrition(spark, sf):
+    _, left = profiles.group_summary_table(built(spark, sf), sold_parcels(spark, sf), ["lprice"])
+    return left.select("status", "value", "all_rows", "built_1960", "sold_since", "with_mortgage")
 
 
 @query("""WITH t AS (SELECT l_suppkey % 10 AS m, l_orderkey, CASE WHEN l_linestatus = 'F' THEN 'H' ELSE 'D' END AS cls, CASE WHEN l_suppkey % 10 < 4 AND l_linenumber > 1 THEN 0 WHEN l_linenumber <= 2 THEN 1 WHEN l_linenumber < 6 THEN 0 ELSE 9 END AS ng FROM lineitem),
@@ -246,17 +260,17 @@ def qualified_metros(spark, sf):
     return rows.groupBy("cbsacode").agg(F.count("*").alias("n"), F.sum("hoa_neigh").alias("ng"))
 
 
-FEES = """f AS (SELECT lpad(CAST(c_custkey % 400 AS VARCHAR), 5, '0') AS zip, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 1000 ELSE 0 END AS fee FROM orders JOIN customer ON c_custkey = o_custkey),
- z AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip, lpad(CAST(c_nationkey * 1000 + c_custkey % 60 AS VARCHAR), 5, '0') AS county FROM customer WHERE c_custkey < 400),
+FEES = """f AS (SELECT format('{:05d}', o_custkey) AS zip, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 ELSE 0 END AS fee FROM orders),
+ z AS (SELECT format('{:05d}', c_custkey) AS zip, format('{:05d}', c_nationkey * 1000 + c_custkey % 12) AS county FROM customer),
  j AS (SELECT county, 'G' || county[1:2] AS st, fee FROM f JOIN z USING (zip) WHERE fee > 0)"""
 
 
-@query(f"WITH {FEES} SELECT 'G' || county[1:2] || '0' || county[3:] || '0' AS \"GISJOIN\", round(median(fee), 6) AS co_median, count(*) AS n FROM j GROUP BY county HAVING count(*) >= 20")
+@query(f"WITH {FEES} SELECT 'G' || county[1:2] || '0' || county[3:] || '0' AS \"GISJOIN\", round(median(fee), 6) AS co_median, count(*) AS n FROM j GROUP BY county HAVING count(*) >= 45")
 def fee_by_county(spark, sf):
     return _fees(spark, sf)[0].withColumn("co_median", r6("co_median"))
 
 
-@query(f"""WITH {FEES}, d AS (SELECT j.*, 'D' || (CAST(county[1:2] AS BIGINT) % 4) AS division_code FROM j), ok AS (SELECT DISTINCT division_code FROM d GROUP BY county, division_code HAVING count(*) >= 20)
+@query(f"""WITH {FEES}, d AS (SELECT j.*, 'D' || (CAST(county[1:2] AS BIGINT) % 4) AS division_code FROM j), ok AS (SELECT DISTINCT division_code FROM d GROUP BY county, division_code HAVING count(*) >= 45)
  SELECT division_code, round(median(fee), 6) AS division_median FROM d WHERE division_code IN (SELECT division_code FROM ok) GROUP BY 1""")
 def fee_by_division(spark, sf):
     return _fees(spark, sf)[1].withColumn("division_median", r6("division_median"))
@@ -264,18 +278,18 @@ def fee_by_division(spark, sf):
 
 def _fees(spark, sf):
     customer = table(spark, sf, "customer")
-    listed = table(spark, sf, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        (F.col("c_custkey") % 400).cast("string").alias("ZIP"),
-        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") / 1000).otherwise(0.0).alias("HOA/MONTH"),
-    )
-    zips = customer.filter("c_custkey < 400").select(
-        F.col("c_custkey").cast("string").alias("ZCTA5"), (F.col("c_nationkey") * 1000 + F.col("c_custkey") % 60).cast("string").alias("GEOID")
+    listed = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("ZIP"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 1000).otherwise(0.0).alias("HOA/MONTH"),
+    )
+    zips = customer.select(
+        F.col("c_custkey").cast("string").alias("ZCTA5"), (F.col("c_nationkey") * 1000 + F.col("c_custkey") % 12).cast("string").alias("GEOID")
     )
     divisions = table(spark, sf, "nation").select(
         F.concat(F.lit("G"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("state_code"),
         F.concat(F.lit("D"), (F.col("n_nationkey") % 4).cast("string")).alias("division_code"),
     )
-    return listings.listing_fee_by_area(listed, zips, divisions, 20)
+    return listings.listing_fee_by_area(listed, zips, divisions, 45)
 
 
 def analysis_rows(spark, sf):

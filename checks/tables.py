@@ -245,11 +245,11 @@ def maps_and_casts(spark, sf):
 
 
 @query("""SELECT o_orderkey, c_custkey, c_mktsegment, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey
- LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 LEFT JOIN region ON r_regionkey = n_regionkey""")
+ LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2 LEFT JOIN region ON r_regionkey = n_regionkey""")
 def crosswalk_joins(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
     df = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(customer, "c_custkey")
-    df = lookup(df, table(spark, sf, "nation").filter("n_nationkey < 20"), "n_nationkey")
+    df = lookup(df, table(spark, sf, "nation").filter("n_regionkey <> 2"), "n_nationkey")
     region = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     return lookup(df, region, "n_regionkey").select("o_orderkey", "c_custkey", "c_mktsegment", "n_name", "r_name")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -124,7 +124,7 @@ def additive_effect(
     return additive_ols(within, f"{y}_dm", [treat], smooths, [place], by)
 
 
-def results_rows(fits: DataFrame, regtype: str, group: str | None, term: str, labels: Mapping[str, str] | None = None) -> DataFrame:
+def results_rows(fits: DataFrame, regtype: str, group: str | None, term: str) -> DataFrame:
     """Rows of the common results table (K4, K7): regtype, group, term, coef, se, n."""
     who = F.col(group).cast("string") if group else F.lit(None).cast("string")
     return fits.filter(F.col("term") == term).select(
