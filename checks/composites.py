@@ -311,7 +311,7 @@ def regression_table(spark, sf):
 
 @query()
 def national_models(spark, sf):
-    """Two treatments under two absorbed effects with clustered errors; checked against NumPy in the tests."""
+    """Two treatments under two absorbed effects with clustered errors; the estimator is checked against NumPy in the tests."""
     rows = materialize(analysis_rows(spark, sf), "analysis")
     fits = effects.national_models(rows, "lprice", ["lba", "ageAtSale", "warranty"], "tract", "month", "FIPS")
     return fits.select("model", "term", r6("coef", 4).alias("coef"), r6("se", 4).alias("se"), "n")
