@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import pieces, tokens
+from plotmark.llm import pieces, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op1_packed_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text written to bit-packed files, then read back from them."""
     manifest = tokens.write_tokens(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokens.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_copies(documents(spark, sf))
