@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import pieces, simhash, tokens
+from plotmark.llm import decontaminate, pieces, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,17 @@ def op1_packed_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_copies(documents(spark, sf))
+
+
+@query()
+def op6_benchmark_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    hits = decontaminate.benchmark_hits(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
