@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import decontaminate, pieces, simhash, tokens
+from plotmark.llm import credentials, decontaminate, pieces, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,17 @@ def op6_benchmark_hits(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@query()
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of every text: patterns, and strings like known credentials."""
+    found = credentials.find_secrets(documents(spark, sf))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in credentials.KINDS],
+        F.sha2(credentials.digest_text(base), 256).alias("base_sha256"),
+        credentials.digest_text(F.col("spans")).alias("spans"),
+    )

@@ -1,0 +1,103 @@
+"""Secrets: patterns equal a plain scan; inferred formats separate held-out strings."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from plotmark.llm import credentials
+from plotmark.llm.automata import Automaton
+from plotmark.llm.queries import QUERIES
+
+ORDINARY = [
+    *(
+        f"{a}ationally{b}ingness"
+        for a in ("intern", "transform", "sens", "oper", "not", "fract", "rel", "emot", "stabil", "confirm")
+        for b in ("will", "read", "lik", "mean", "bus", "lov", "forgiv", "dark", "weak", "kind")
+    ),
+    *(f"10.{k}.200.{k}.255.1" for k in range(100, 140)),
+]
+
+
+def slow_spans(text):
+    """Base spans by the rule's own words."""
+    found = []
+    for kind, pattern, least, group in (
+        ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+        ("access", "AKIA[A-Z0-9]+", 20, 0),
+        ("hex", "[0-9a-f]+", 24, 0),
+    ):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(found, key=lambda s: (s[0], order[s[1]]))
+
+
+def random_hex(rng, n):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def test_automaton_learns_a_format():
+    rng = random.Random(2)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16))
+    learned = Automaton(key() for _ in range(300))
+    assert len(learned.next) <= 8
+    held_out = [learned.log_probability(key()) for _ in range(100)]
+    assert min(held_out) > learned.log_probability("BKIA" + key()[4:]) + 3
+    assert min(held_out) > learned.log_probability("internationalisation")
+    assert Automaton([]).log_probability("ab") < 0
+
+
+def test_patterns_equal_the_rule():
+    rng = random.Random(4)
+    parts = ["password", "PassWD", "apikey", "API_KEY", "ſecret", "toKen", "secret", "AKIA", "abcdef0123", "A1B2C3D4E5", '"', "'", " ", "=", ":", "\n", "é", "-", "x"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [(s, credentials.KINDS[k], e) for s, k, e, _ in credentials.pattern_spans(text)] == slow_spans(text)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    rng = random.Random(6)
+    rows = [(k, f"note {k} token = {random_hex(rng, 40)} and {rng.choice(ORDINARY)} end") for k in range(300)]
+    rows += [(1000 + k, f"the key {random_hex(rng, 22)} stands alone") for k in range(6)]
+    rows += [(2000 + k, f"plain {w} text, 4429{k:012d} paid") for k, w in enumerate(ORDINARY)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_formats_add_what_no_pattern_has(planted):
+    rows = {r.doc_id: r.spans for r in credentials.find_secrets(planted).collect()}
+    alone = [rows[1000 + k] for k in range(6)]
+    assert sum([s.kind for s in spans] == ["format"] and (spans[0].start, spans[0].end) == (8, 30) for spans in alone) >= 3
+    assert all(not rows[2000 + k] for k in range(len(ORDINARY)))
+    assert all([s.kind for s in rows[k]] == ["assign", "hex"] for k in range(300))
+
+
+def test_redaction_keeps_other_columns(spark):
+    df = spark.createDataFrame(
+        [(1, "a password=abcdef123 b", "s"), (None, None, "t"), (2, "", "u"), (3, f"token = {'ab' * 20}!", "v")],
+        "doc_id long, text string, spans string",
+    )
+    assert sorted(map(tuple, credentials.redact(df).collect()), key=str) == sorted(
+        [(1, "a [secret] b", "s"), (None, None, "t"), (2, "", "u"), (3, "[secret]!", "v")], key=str
+    )
+    assert credentials.redact(df.limit(0)).count() == 0
+
+
+def test_odd_rows(odd_rows, no_rows):
+    rows = credentials.find_secrets(odd_rows).collect()
+    assert len(rows) == odd_rows.count() and all(r.spans == [] for r in rows)
+    assert credentials.find_secrets(no_rows).count() == 0
+
+
+def test_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op3_secrets"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = slow_spans(texts[r.doc_id])
+        line = ",".join(f"{k}:{s}:{e}" for s, k, e in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        kinds = [k for _, k, _ in want]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(kinds.count, ("assign", "access", "hex")))
+        assert [x for x in r.spans.split(",") if x and x[0] != "f"] == [x for x in line.split(",") if x]
