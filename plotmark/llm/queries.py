@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import credentials, decontaminate, pieces, simhash, tokens
+from plotmark.llm import credentials, decontaminate, pages, pieces, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,10 @@ def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(credentials.digest_text(base), 256).alias("base_sha256"),
         credentials.digest_text(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    found = pages.main_text(spark.read.parquet(f"{sf}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
