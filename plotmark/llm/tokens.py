@@ -47,7 +47,7 @@ class WordEncoder(Memo):
     make words repeat more often. Words with "<|" are left to the library as they are.
     """
 
-    def __init__(self, data: bytes, limit: int = 500_000):
+    def __init__(self, data: bytes, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
