@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import credentials, decontaminate, pages, pieces, simhash, tokens
+from plotmark.llm import credentials, decontaminate, pages, pieces, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,16 @@ def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     found = pages.main_text(spark.read.parquet(f"{sf}/pages.parquet"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(quality.ORACLE_SQL)
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Features and verdict of every document."""
+    judged = quality.assess(documents(spark, sf))
+    return judged.select(
+        "row.doc_id",
+        *[
+            f"q.{c}"
+            for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        ],
+    )
