@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import credentials, decontaminate, pages, pieces, quality, simhash, tokens
+from plotmark.llm import credentials, decontaminate, pages, pieces, quality, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,12 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
             for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
         ],
     )
+
+
+@query(sharding.oracle_sql(8))
+def op5_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in one of 8 equal shards, with its slot and its shard among 9."""
+    placed = sharding.place(documents(spark, sf), [1.0] * 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
