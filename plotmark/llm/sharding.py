@@ -80,7 +80,7 @@ def place(
         rendezvous(key, [*weights, grown]).alias("grown_shard"),
     )
     slots = with_slots(materialize(slim, "keys"), "shard", ["_key", "size", "text_crc32"])
-    return slots.withColumnRenamed("_key", key_col)
+    return slots.select(F.col("_key").alias(key_col), "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def write_shards(df: DataFrame, path: str, weights: Sequence[float], key_col: str = "doc_id") -> None:
