@@ -94,7 +94,8 @@ def close_forest(prints: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
     padded = np.zeros(int(words.sum()) * 64, np.uint64)
     padded[word * 64 + lane % 64] = prints
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64, -1)
+    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(planes).view("<u8").reshape(64, -1)
     members = np.minimum(np.repeat(sizes, words) - (np.arange(len(planes[0])) - np.repeat(first_word, words)) * 64, 64)
     lanes = _ones(members)
     # Each member meets the words from its own on.

@@ -57,6 +57,13 @@ def test_bit_slices(radius, groups):
     assert (simhash.close_forest(p, group, radius) == want).all()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 63, 64, 65, 128, 129])
+def test_word_borders(n):
+    """All of one group, a bit apart in a chain: one component."""
+    p = (np.uint64(1) << np.arange(n, dtype=np.uint64) % np.uint64(64)) - np.uint64(1)
+    assert (simhash.close_forest(p, np.zeros(n, int), 1) == 0).all()
+
+
 @pytest.mark.parametrize("match,tile", [(1, 4096), (1, 20), (2, 4096), (3, 16)])
 def test_no_link_is_lost(spark, match, tile):
     """Every choice of blocks and tile size joins the same fingerprints, hot keys included."""
