@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from checks.roles import SQL_STATUS, parcels, query, r6, table
 from plotmark.functions.status import cutoff_status
 from plotmark.operators.areas import group_share, with_mode
-from plotmark.operators.records import flag_counts
 from plotmark.plans import effects, listings, parcels as parcel_plans, profiles
 from plotmark.session import materialize
 
@@ -21,12 +20,12 @@ MAIN = """p_partkey AS RowID; concat('P', CAST(p_partkey AS STRING)) AS ImportPa
  CASE WHEN p_size % 4 = 0 THEN 'MT' WHEN p_size % 4 = 1 THEN 'LV' END AS LotSiteTopographyStndCode;
  30 + (p_partkey % 101) / 100.0 AS PropertyAddressLatitude; -90 - (p_partkey % 103) / 100.0 AS PropertyAddressLongitude;
  CASE WHEN p_partkey % 19 > 0 THEN concat('0', CAST(1001 + p_size % 25 AS STRING), CAST(100000 + p_partkey % 7 AS STRING), CAST(1001 + p_partkey % 3 AS STRING)) END AS PropertyAddressCensusTractAndBlock"""
-BUILDING = """p_partkey AS RowID; 1 AS NoOfUnits; CASE WHEN p_type = 'PROMO' THEN 'RR102' ELSE 'RR101' END AS PropertyLandUseStndCode; 1950.0 + p_size AS YearBuilt;
+BUILDING = """p_partkey AS RowID; 1 AS SequenceNumber; 1 AS NoOfUnits; CASE WHEN p_type = 'PROMO' THEN 'RR102' ELSE 'RR101' END AS PropertyLandUseStndCode; 1950.0 + p_size AS YearBuilt;
  CASE WHEN p_size % 2 = 0 THEN 'O' END AS OccupancyStatusStndCode; CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'C-' END AS BuildingQualityStndCode;
  p_size % 14 AS TotalRooms; CASE WHEN p_partkey % 23 > 0 THEN p_size % 8 END AS TotalBedrooms; p_size % 7 AS TotalCalculatedBathCount;
  CASE WHEN p_size % 5 = 0 THEN 'TL' END AS RoofCoverStndCode; 'FA' AS HeatingTypeorSystemStndCode; 'CE' AS AirConditioningTypeorSystemStndCode;
  CASE WHEN p_size % 6 = 0 THEN 'Y' END AS FireplaceFlag; CASE WHEN p_size % 10 = 1 THEN 2 END AS FireplaceNumber"""
-CHILD = """l_partkey AS RowID; l_linenumber AS BuildingAreaSequenceNumber; CASE l_returnflag WHEN 'A' THEN 'BAB' WHEN 'R' THEN 'BAL' ELSE 'ZZ' END AS BuildingAreaStndCode;
+CHILD = """l_partkey AS RowID; l_orderkey * 10 + l_linenumber AS SequenceNumber; l_linenumber AS BuildingAreaSequenceNumber; CASE l_returnflag WHEN 'A' THEN 'BAB' WHEN 'R' THEN 'BAL' ELSE 'ZZ' END AS BuildingAreaStndCode;
  l_extendedprice / 20 AS BuildingAreaSqFt; CASE WHEN l_discount > 0.09 THEN 'VWL' WHEN l_discount > 0.08 THEN 'GLF' ELSE 'XX' END AS LotSiteAppealStndCode;
  CASE WHEN l_tax > 0.07 THEN 'CP' WHEN l_tax > 0.06 THEN 'WD' ELSE 'XX' END AS InteriorFlooringTypeStndCode;
  CASE l_returnflag WHEN 'A' THEN 'BR' WHEN 'R' THEN 'WD' ELSE 'QQ' END AS ExteriorWallStndCode; CASE WHEN l_quantity > 20 THEN l_quantity * 10 END AS GarageAreaSqFt;
@@ -58,9 +57,11 @@ def family(spark, sf):
         "Pool": ["PoolStndCode"],
         "Oby": ["OBYAreaSqFt"],
     }
-    tables = {name: child.select("RowID", *cs) for name, cs in columns.items()}
+    tables = {name: child.select("RowID", "SequenceNumber", *cs) for name, cs in columns.items()}
     tables["Main"], tables["Building"] = select_sql(spark, sf, "part", MAIN), select_sql(spark, sf, "part", BUILDING)
-    tables["Value"] = table(spark, sf, "part").selectExpr("p_partkey AS RowID", "p_retailprice * (p_partkey % 5) AS TotalAssessedValue")
+    tables["Value"] = table(spark, sf, "part").selectExpr(
+        "p_partkey AS RowID", "1 AS SequenceNumber", "p_retailprice * (p_partkey % 5) AS TotalAssessedValue"
+    )
     tx = select_sql(spark, sf, "orders", TX)
     return tables, tx.drop("ImportParcelID"), tx.select("TransId", "ImportParcelID")
 
@@ -88,12 +89,15 @@ def parcels_with_status(spark, sf):
     return found.select("RowID", "county", "state", F.col("YearBuilt").cast("double"), "mortgage", "hoa")
 
 
-@query(f"""WITH {STATUS}, first AS (SELECT RowID, min(ExteriorWallStndCode) AS wall, max(CASE WHEN LotSiteAppealStndCode = 'VWL' THEN 1 ELSE 0 END) AS waterfrnt,
+FIRST_CHILD = """first AS (SELECT RowID, arg_min(coalesce(ExteriorWallStndCode, ''), SequenceNumber) AS wall, max(CASE WHEN LotSiteAppealStndCode = 'VWL' THEN 1 ELSE 0 END) AS waterfrnt,
    max(CASE WHEN LotSiteAppealStndCode = 'GLF' THEN 1 ELSE 0 END) AS golf, max(CASE WHEN InteriorFlooringTypeStndCode = 'CP' THEN 1 ELSE 0 END) AS carpet_fl,
    max(CASE WHEN InteriorFlooringTypeStndCode = 'WD' THEN 1 ELSE 0 END) AS wood_fl, max(CASE WHEN ExtraFeaturesStndCode = 'DCK' THEN 1 ELSE 0 END) AS deck,
    max(CASE WHEN ExtraFeaturesStndCode LIKE 'FN%' THEN 1 ELSE 0 END) AS fence, max(CASE WHEN PoolStndCode = 'POL' THEN 1 ELSE 0 END) AS pool, sum(OBYAreaSqFt) AS oby_sqft,
-   min(GarageAreaSqFt) AS gsqft, min(GarageNoOfCars) AS cars,
-   max(BuildingAreaSqFt) FILTER (BuildingAreaSequenceNumber = 1 AND BuildingAreaStndCode IN ('BAB', 'BAL')) AS area FROM child GROUP BY 1)
+   arg_min(GarageAreaSqFt, SequenceNumber) FILTER (GarageAreaSqFt IS NOT NULL) AS gsqft, arg_min(GarageNoOfCars, SequenceNumber) FILTER (GarageNoOfCars IS NOT NULL) AS cars,
+   max(BuildingAreaSqFt) FILTER (BuildingAreaSequenceNumber = 1 AND BuildingAreaStndCode IN ('BAB', 'BAL')) AS area FROM child GROUP BY 1)"""
+
+
+@query(f"""WITH {STATUS}, {FIRST_CHILD}
  SELECT m.RowID, m.FIPS, pud, condo, st.mortgage::BIGINT AS mortgage, b.YearBuilt::DOUBLE AS YearBuilt, CASE WHEN OccupancyStatusStndCode IS NULL THEN 0 ELSE 1 END AS ownerocc,
   CASE BuildingQualityStndCode WHEN 'A' THEN 2 WHEN 'C-' THEN 9 END AS buildquality, TotalBedrooms AS bdrms,
   CASE WHEN FireplaceFlag IS NOT NULL OR FireplaceNumber IS NOT NULL THEN 1 ELSE 0 END AS fireplace, CASE WHEN RoofCoverStndCode = 'TL' THEN 1 ELSE 0 END AS tile_rf,
@@ -114,33 +118,23 @@ def wide_parcels(spark, sf):
     )
 
 
-SALES = f"""{STATUS}, home AS (SELECT RowID, ImportParcelID, FIPS, pud, condo, YearBuilt, LotSizeSquareFeet, LotSizeSquareFeet / 20 AS area, TotalRooms, TotalBedrooms, TotalCalculatedBathCount,
-   LotSiteTopographyStndCode AS topo, substring(PropertyAddressCensusTractAndBlock, 1, 9) AS tract FROM main JOIN building USING (RowID) JOIN st USING (ImportParcelID))"""
-
-
-def homes(spark, sf):
-    """Parcels with the columns the sales need, without the child tables."""
-    tables, tx, info = family(spark, sf)
-    linked = parcel_plans.linked_transactions(tx, info)
-    riders = flag_counts(linked, "ImportParcelID", {n: F.col(c).isNotNull() for n, c in parcel_plans.RIDERS.items()})
-    df = tables["Main"].join(tables["Building"], "RowID").join(riders, "ImportParcelID")
-    return df.withColumns(
-        {
-            "BuildingAreaSqFt": F.col("LotSizeSquareFeet") / 20, "GarageAreaSqFt": F.lit(0.0), "oby_sqft": F.lit(0.0),
-            "totrms": F.col("TotalRooms"), "bdrms": F.col("TotalBedrooms"), "baths": F.col("TotalCalculatedBathCount"),
-            "tract": F.substring("PropertyAddressCensusTractAndBlock", 1, 9),
-        }
-    )
+SALES = f"""{STATUS}, {FIRST_CHILD}, home AS (SELECT RowID, ImportParcelID, FIPS, pud, condo, YearBuilt, LotSizeSquareFeet, area, coalesce(gsqft, 0) AS gsqft, coalesce(oby_sqft, 0) AS oby,
+   TotalRooms, TotalBedrooms, TotalCalculatedBathCount, CASE wall WHEN 'BR' THEN 'brick' WHEN 'WD' THEN 'wood' WHEN 'QQ' THEN 'other' ELSE 'none' END AS extwall,
+   coalesce(pool, 0) AS pool, LotSiteTopographyStndCode AS topo, substring(PropertyAddressCensusTractAndBlock, 1, 9) AS tract
+   FROM main JOIN building USING (RowID) JOIN st USING (ImportParcelID) LEFT JOIN first USING (RowID)
+   WHERE YearBuilt >= 1960 AND PropertyLandUseStndCode = 'RR101' AND TotalBedrooms IS NOT NULL)"""
 
 
 def sales(spark, sf):
-    _, tx, info = family(spark, sf)
-    return parcel_plans.clean_transactions(homes(spark, sf), tx, info)
+    """C3 on the result of C2."""
+    tables, tx, info = family(spark, sf)
+    homes = materialize(parcel_plans.parcel_features(tables, tx, info, metros(spark, sf)), "homes")
+    return parcel_plans.clean_transactions(homes, tx, info)
 
 
 CLEAN = """clean AS (SELECT TransId, RowID, FIPS, DataClassStndCode, CASE WHEN pud + condo > 0 THEN 1 ELSE 0 END AS hoa, tract, YearBuilt, area, LotSizeSquareFeet,
   CASE WHEN CAST(substring(RecordingDate, 1, 4) AS DOUBLE) >= YearBuilt THEN CAST(substring(RecordingDate, 1, 4) AS DOUBLE) - YearBuilt END AS ageAtSale,
-  date_diff('day', DATE '1960-01-01', CAST(coalesce(DocumentDate, RecordingDate) AS DATE)) AS day, ln(SalesPriceAmount) AS lprice, ln(area + 1) AS lba, ln(LotSizeSquareFeet + 1) AS llota,
+  date_diff('day', DATE '1960-01-01', CAST(coalesce(DocumentDate, RecordingDate) AS DATE)) AS day, ln(SalesPriceAmount) AS lprice, ln(area + 1) AS lba, ln(LotSizeSquareFeet + 1) AS llota, ln(gsqft + 1) AS lgara, ln(oby + 1) AS loba, extwall, pool,
   CASE DocumentTypeStndCode WHEN 'WRDE' THEN 'warranty' WHEN 'TXDE' THEN 'foreclosure' ELSE 'other' END AS deed_type, CASE topo WHEN 'MT' THEN 'other' ELSE topo END AS topography,
   least(TotalRooms, 10) AS totrms, CASE WHEN TotalBedrooms >= 6 THEN 6 ELSE TotalBedrooms END AS bdrms, least(TotalCalculatedBathCount, 5) AS baths
   FROM tx JOIN home USING (ImportParcelID) WHERE SalesPriceAmount BETWEEN 1000 AND 5000000 AND coalesce(SalesPriceAmountStndCode <> 'CU', true) AND IntraFamilyTransferFlag IS NULL
@@ -148,12 +142,12 @@ CLEAN = """clean AS (SELECT TransId, RowID, FIPS, DataClassStndCode, CASE WHEN p
 
 
 @query(f"""WITH {SALES}, {CLEAN} SELECT TransId, RowID, hoa, round(ageAtSale, 2) AS ageAtSale, day::DOUBLE AS "DocumentDate", round(lprice, 6) AS lprice, round(lba, 6) AS lba,
- round(llota, 6) AS llota, deed_type, topography, totrms, bdrms, baths, tract FROM clean""")
+ round(llota, 6) AS llota, round(lgara, 6) AS lgara, round(loba, 6) AS loba, extwall, pool, deed_type, topography, totrms, bdrms, baths, tract FROM clean""")
 def clean_transactions(spark, sf):
     found = sales(spark, sf)
     return found.select(
         "TransId", "RowID", "hoa", r6(F.col("ageAtSale").cast("double"), 2).alias("ageAtSale"), "DocumentDate",
-        *[r6(c).alias(c) for c in ("lprice", "lba", "llota")], "deed_type", "topography", "totrms", "bdrms", "baths", "tract",
+        *[r6(c).alias(c) for c in ("lprice", "lba", "llota", "lgara", "loba")], "extwall", "pool", "deed_type", "topography", "totrms", "bdrms", "baths", "tract",
     )
 
 
@@ -297,7 +291,7 @@ def analysis_rows(spark, sf):
     tables, _, _ = family(spark, sf)
     tx = sales(spark, sf).withColumn("hoa_neigh", F.col("RowID") % 3)
     region = table(spark, sf, "nation").select(F.concat(F.lit("0"), (1001 + F.col("n_nationkey")).cast("string")).alias("FIPS"), "n_regionkey")
-    return effects.regression_base(tx.drop("PropertyAddressCensusTractAndBlock", "LegalSubdivisionName"), tables["Main"], [(region, "FIPS")], ["bdrms", "topography"])
+    return effects.regression_base(tx.drop("LegalSubdivisionName"), tables["Main"], [(region, "FIPS")], ["bdrms", "topography"])
 
 
 @query(f"""WITH {SALES}, {CLEAN}, r AS (SELECT c.*, substring(PropertyAddressCensusTractAndBlock, 1, 9) || substring(PropertyAddressCensusTractAndBlock, 11, 3) AS geoid, LegalSubdivisionName AS sub

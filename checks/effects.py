@@ -231,6 +231,17 @@ def additive_model_by_group(spark, sf):
     return fit.filter("kind = 'linear'").select("s_nationkey", "term", r6("coef", 3).alias("coef"), "n")
 
 
+@query("""WITH d AS (SELECT s_nationkey, l_discount AS x, l_quantity + 100 * s_nationkey AS z, 7 + 3 * l_discount + 0.5 * (l_quantity + 100 * s_nationkey) AS y
+   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+ SELECT s_nationkey, round(regr_slope(y - 0.5 * z, x), 4) AS coef, count(*) AS n, 1.0::DOUBLE AS r2 FROM d GROUP BY 1""")
+def additive_of_linear_data(spark, sf):
+    """Linear data lie in the smooth's unpenalised part, so each group is fitted exactly on its own range."""
+    z = F.col("l_quantity") + 100 * F.col("s_nationkey")
+    df = regression_rows(spark, sf).select("s_nationkey", F.col("l_discount").alias("x"), z.alias("z"), (7 + 3 * F.col("l_discount") + 0.5 * z).alias("y"))
+    fit = additive_ols(df, "y", ["x"], ["z"], by="s_nationkey")
+    return fit.filter("kind = 'linear'").select("s_nationkey", r6("coef", 4).alias("coef"), "n", r6("r2", 4).alias("r2"))
+
+
 @query(f"""WITH {SQL_ROWS}, {within('s_nationkey, l_suppkey')}, m AS (SELECT s_nationkey, {SUMS}, avg(x1) AS share, count(DISTINCT l_suppkey) AS g FROM w GROUP BY 1),
  f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m)
  SELECT s_nationkey, n AS obs, round(share, 6) AS share, round(b1, 6) AS beta, round({plain_se('c')}, 6) AS se, r_name AS region

@@ -67,25 +67,61 @@ def boxes(spark, sf):
     )
 
 
-@query(f"WITH {SQL_BOXES}, {SQL_TILES} SELECT a, poly_id, round({SHARED}, 6) AS area FROM boxes b JOIN tiles t ON {MEET} WHERE round({SHARED}, 6) > 0")
+@query(f"WITH {SQL_BOXES}, {SQL_TILES} SELECT a, poly_id, round({SHARED}, 6) AS area FROM boxes b JOIN tiles t ON {MEET}")
 def bbox_intersection(spark, sf):
     found = spatial.bbox_overlay(boxes(spark, sf), tiles(spark, sf), "a", "poly_id")
-    return found.withColumn("area", r6("area")).filter("area > 0")
+    return found.withColumn("area", r6("area"))
 
 
 @query(f"""WITH {SQL_BOXES}, {SQL_TILES}, c AS (SELECT a, sum({SHARED}) AS s FROM boxes b JOIN tiles t ON {MEET} GROUP BY 1)
  SELECT a, round((max_x - min_x) * (max_y - min_y) - coalesce(s, 0), 6) + 0.0 AS area FROM boxes LEFT JOIN c USING (a)
- WHERE round((max_x - min_x) * (max_y - min_y) - coalesce(s, 0), 6) > 0""")
+ WHERE (max_x - min_x) * (max_y - min_y) - coalesce(s, 0) > 1e-12 * (max_x - min_x) * (max_y - min_y)""")
 def bbox_difference(spark, sf):
     found = spatial.bbox_overlay(boxes(spark, sf), tiles(spark, sf), "a", "poly_id", "difference")
-    return found.withColumn("area", r6("area")).filter("area > 0")
+    return found.withColumn("area", r6("area"))
+
+
+@query(f"""WITH {SQL_BOXES}, {SQL_TILES}, m AS (SELECT poly_id, greatest(b.min_x, t.min_x) AS x0, least(b.max_x, t.max_x) AS x1, greatest(b.min_y, t.min_y) AS y0,
+   least(b.max_y, t.max_y) AS y1 FROM boxes b JOIN tiles t ON {MEET}),
+ xs AS (SELECT poly_id, x AS xa, lead(x) OVER (PARTITION BY poly_id ORDER BY x) AS xb FROM (SELECT DISTINCT poly_id, unnest([x0, x1]) AS x FROM m)),
+ ys AS (SELECT poly_id, y AS ya, lead(y) OVER (PARTITION BY poly_id ORDER BY y) AS yb FROM (SELECT DISTINCT poly_id, unnest([y0, y1]) AS y FROM m)),
+ u AS (SELECT poly_id, sum((xb - xa) * (yb - ya)) AS s FROM xs JOIN ys USING (poly_id) WHERE EXISTS (SELECT 1 FROM m
+   WHERE m.poly_id = xs.poly_id AND x0 <= xa AND x1 >= xb AND y0 <= ya AND y1 >= yb) GROUP BY 1)
+ SELECT poly_id, round((max_x - min_x) * (max_y - min_y) - coalesce(s, 0), 6) + 0.0 AS area FROM tiles LEFT JOIN u USING (poly_id)""")
+def bbox_difference_of_overlapping(spark, sf):
+    """What the boxes, which overlap each other, leave of each tile."""
+    found = spatial.bbox_overlay(tiles(spark, sf), boxes(spark, sf), "poly_id", "a", "difference")
+    return found.withColumn("area", r6("area"))
+
+
+def inner_ring(lo: float, hi: float):
+    """A rectangle inside each tile, at these shares of its sides."""
+    def at(side, share):
+        return F.col(f"min_{side}") + share * (F.col(f"max_{side}") - F.col(f"min_{side}"))
+    return spatial.rectangle_ring(at("x", lo), at("y", lo), at("x", hi), at("y", hi))
+
+
+def edges_at(lo: float, hi: float) -> str:
+    return " AND ".join(f"{s} >= min_{s} + {lo}::DOUBLE * (max_{s} - min_{s}) AND {s} < min_{s} + {hi}::DOUBLE * (max_{s} - min_{s})" for s in "xy")
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_TILES} SELECT id, min(poly_id) AS poly_id FROM pts LEFT JOIN tiles ON {INSIDE} AND NOT ({edges_at(0.25, 0.75)}) GROUP BY 1")
+def point_in_polygon_with_hole(spark, sf):
+    rings = F.array(spatial.rectangle_ring(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]), inner_ring(0.25, 0.75))
+    return spatial.points_in_polygons(points(spark, sf), tiles(spark, sf).select("poly_id", rings.alias("ring"))).select("id", "poly_id")
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_TILES} SELECT id, min(poly_id) AS poly_id FROM pts JOIN tiles ON ({edges_at(0.0, 0.4)}) OR ({edges_at(0.5, 0.9)}) GROUP BY 1")
+def point_in_polygon_of_two_parts(spark, sf):
+    rings = F.array(inner_ring(0.0, 0.4), inner_ring(0.5, 0.9))
+    return spatial.points_in_polygons(points(spark, sf), tiles(spark, sf).select("poly_id", rings.alias("ring")), "inner").select("id", "poly_id")
 
 
 @query(f"""WITH {SQL_POINTS}, {SQL_TILES} SELECT poly_id, count(fee) AS flagged, count(*) AS total, round(count(fee) / count(*), 6) AS share,
  round(avg(fee), 6) AS fee_mean FROM (SELECT *, CASE WHEN label % 3 > 0 THEN 100 + z END AS fee FROM pts) JOIN tiles ON {INSIDE} GROUP BY 1""")
 def listing_fee_by_area_polygon(spark, sf):
     listings = points(spark, sf).withColumn("fee", F.when(F.col("label") % 3 > 0, 100 + F.col("z")))
-    found = listing_fee_by_polygon(listings, tile_rings(spark, sf), "id", "x", "y", "fee", "poly_id")
+    found = listing_fee_by_polygon(listings, tile_rings(spark, sf), "x", "y", "fee", "poly_id")
     return found.select("poly_id", "flagged", "total", r6("share").alias("share"), r6("fee_mean").alias("fee_mean"))
 
 

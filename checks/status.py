@@ -145,7 +145,7 @@ def max_child(spark, sf):
 @query("""WITH b AS (SELECT l_partkey, max(l_extendedprice) AS top FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
  a AS (SELECT l_partkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
  q AS (SELECT l_partkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_tax > 0.06 GROUP BY 1),
- s AS (SELECT l_partkey, min(l_suppkey) AS supplier FROM lineitem WHERE l_discount > 0.08 GROUP BY 1)
+ s AS (SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS supplier FROM lineitem WHERE l_discount > 0.08 GROUP BY 1)
  SELECT p_partkey, p_size, coalesce(top, 0) AS top, coalesce(returned, 0) AS returned, round(coalesce(quantity, 0), 6) AS quantity, supplier
  FROM part LEFT JOIN b ON b.l_partkey = p_partkey LEFT JOIN a ON a.l_partkey = p_partkey
  LEFT JOIN q ON q.l_partkey = p_partkey LEFT JOIN s ON s.l_partkey = p_partkey""")
@@ -155,7 +155,10 @@ def wide_assembly(spark, sf):
         records.largest_per_key(items, key, "l_extendedprice", F.col("l_linestatus") == "F").withColumnRenamed("l_extendedprice", "top"),
         records.child_flag(items.filter("l_quantity > 45"), key, {"returned": F.col("l_returnflag") == "R"}),
         items.filter("l_tax > 0.06").groupBy(key).agg(r6(F.sum("l_quantity")).alias("quantity")),
-        records.first_per_key(items.filter("l_discount > 0.08").select(key, F.col("l_suppkey").alias("supplier")), key),
+        records.first_per_key(
+            items.filter("l_discount > 0.08").select(key, "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("supplier")),
+            key, ["l_orderkey", "l_linenumber"],
+        ).select(key, "supplier"),
     ]
     parent = table(spark, sf, "part").select(key, "p_size")
     return records.assemble(parent, children, key, {"top": 0.0, "returned": 0, "quantity": 0.0})

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plotmark.models.linear import _names
 from plotmark.models.moments import batch_products, pack_products, prepare
 from plotmark.models.numeric import t_pvalue, unpack
+from plotmark.operators.skew import attach_groups
 
 DEGREE = 3
 GRID = np.linspace(-4, 6, 11)
@@ -51,6 +52,19 @@ def spline_basis(x: np.ndarray, lo: float, hi: float, size: int) -> np.ndarray:
     return basis
 
 
+def _unit_range(work: DataFrame, b: list[str], columns: list[str]) -> DataFrame:
+    """Columns moved to [0, 1] over each group's range; a constant column becomes 0."""
+    if not columns:
+        return work
+    ends = [e for c in columns for e in (F.min(c).alias(f"_l_{c}"), F.max(c).alias(f"_h_{c}"))]
+    ranged = attach_groups(work, work.groupBy(*b).agg(F.count("*").alias("_size"), *ends), b, "_size", "inner")
+    moved = {
+        c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_l_{c}"), F.col(f"_h_{c}") - F.col(f"_l_{c}")), F.lit(0.0))
+        for c in columns
+    }
+    return ranged.withColumns(moved).select(*work.columns)
+
+
 def _roughness(size: int) -> np.ndarray:
     d = np.diff(np.eye(size), n=2, axis=0)
     return d.T @ d
@@ -66,15 +80,17 @@ def additive_ols(
     size: int = 10,
     size2d: int = 5,
 ) -> DataFrame:
-    """Linear coefficients and effective degrees of freedom of the smooths, per ``by`` group."""
+    """Linear coefficients and effective degrees of freedom of the smooths, per ``by`` group.
+
+    The knots of a smooth span the group's own range, so a group's fit does not depend on
+    the other groups.
+    """
     by, linear, smooths = _names(by), list(linear), list(smooths)
     shaped = list(dict.fromkeys([*smooths, *[c for pair in smooths2d for c in pair]]))
     columns = [*linear, *shaped, y]
     work, b, _, _, v = prepare(df, columns, by, (), ())
     name = dict(zip(columns, v))
-    ends = work.agg(*[F.min(name[c]).alias(f"l{i}") for i, c in enumerate(shaped)],
-                    *[F.max(name[c]).alias(f"h{i}") for i, c in enumerate(shaped)]).first()
-    span = {c: (ends[f"l{i}"], ends[f"h{i}"]) for i, c in enumerate(shaped)}
+    work = _unit_range(work, b, [name[c] for c in shaped])
     at = {c: i for i, c in enumerate(columns)}
     blocks, start = [], 1 + len(linear)
     for c in smooths:
@@ -88,10 +104,10 @@ def additive_ols(
 
     def expand(x: np.ndarray) -> np.ndarray:
         parts = [np.ones((len(x), 1)), x[:, [at[c] for c in linear]]]
-        parts += [spline_basis(x[:, at[c]], *span[c], size) for c in smooths]
+        parts += [spline_basis(x[:, at[c]], 0.0, 1.0, size) for c in smooths]
         for c, d in smooths2d:
-            left = spline_basis(x[:, at[c]], *span[c], size2d)
-            right = spline_basis(x[:, at[d]], *span[d], size2d)
+            left = spline_basis(x[:, at[c]], 0.0, 1.0, size2d)
+            right = spline_basis(x[:, at[d]], 0.0, 1.0, size2d)
             parts.append((left[:, :, None] * right[:, None, :]).reshape(len(x), -1))
         return np.hstack([*parts, x[:, [at[y]]]])
 

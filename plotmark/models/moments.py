@@ -20,7 +20,7 @@ from plotmark.operators.skew import attach_groups
 
 # Up to this many columns, products are summed by column expressions; beyond, per Arrow batch.
 NARROW = 7
-# Groups a task keeps in memory before it hands their sums on.
+# Groups of one batch that a task hands on together.
 FLUSH_GROUPS = 256
 
 
@@ -105,9 +105,10 @@ def batch_products(
     expand: Callable[[np.ndarray], np.ndarray] | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """Rows (keys, i, j, s): products of all value columns summed per Arrow batch and task.
+    """Rows (keys, i, j, s): products of all value columns, one triangle per key and task.
 
-    With ``weight``, each row's products are divided by it. ``expand`` turns the value
+    Rows are sorted by key inside their task first, without a shuffle, so a task meets each
+    key once and holds few triangles however many keys there are. With ``weight``, each row's products are divided by it. ``expand`` turns the value
     columns of a batch into ``width`` model columns.
     """
     keys, values = list(keys), list(values)
@@ -133,15 +134,15 @@ def batch_products(
             scale = 1 / batch.column(weight).to_numpy(zero_copy_only=False).astype(float) if weight else None
             for key, at in _positions(batch, keys):
                 x = expand(table[at]) if expand else table[at]
-                sums[key] = sums.get(key, 0) + x.T @ (x * scale[at, None] if weight else x)
-                if len(sums) >= FLUSH_GROUPS:
+                if key not in sums and len(sums) >= FLUSH_GROUPS:
                     yield rows(sums)
                     sums = {}
+                sums[key] = sums.get(key, 0) + x.T @ (x * scale[at, None] if weight else x)
         if sums:
             yield rows(sums)
 
     used = [*keys, *values, *([weight] if weight else [])]
-    return df.select(*used).mapInArrow(run, schema)
+    return df.select(*used).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _positions(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[tuple, object]]:

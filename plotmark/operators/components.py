@@ -22,7 +22,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
         roots = _follow(materialize(hooks, "hooks"))
-        labels = roots if first else _step(labels, roots).select("node", F.col("_next").alias("root"))
+        # Written each round, so that the plan does not grow with the rounds.
+        labels = roots if first else materialize(
+            _step(labels, roots).select("node", F.col("_next").alias("root")), "labels"
+        )
         first = False
         moved = (
             edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")

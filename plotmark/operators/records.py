@@ -13,14 +13,17 @@ from plotmark.functions.status import combined_flag
 def first_per_key(
     df: DataFrame,
     keys: Sequence[str] | str,
-    order: Sequence[str | Column] = (),
+    order: Sequence[str | Column],
     not_null: str | None = None,
 ) -> DataFrame:
     """First row of every key by ``order``, then by all remaining columns (rule Q1).
 
-    The least ordering struct is an ordinary aggregate: each task reduces its rows
-    before the shuffle, so a key with many rows costs no more than another.
+    The order is required: rows have none of their own. The least ordering struct is an
+    ordinary aggregate: each task reduces its rows before the shuffle, so a key with many
+    rows costs no more than another.
     """
+    if not order:
+        raise ValueError("the first row of a key needs an order, such as a sequence number")
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not_null:
         df = df.filter(F.col(not_null).isNotNull())
@@ -30,6 +33,12 @@ def first_per_key(
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def first_values(df: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
+    """Each column's first non-null value per key by ``order``, all in one aggregate (A10)."""
+    first = {c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("_o"), F.col(c)))) for c in columns}
+    return df.groupBy(key).agg(*[first[c][c].alias(c) for c in columns])
+
+
 def largest_per_key(df: DataFrame, keys: Sequence[str] | str, value: str, where: Column | None = None) -> DataFrame:
     """Largest value of every key among the rows that pass ``where``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -48,7 +57,7 @@ def child_flag(
     """0/1 flags per key from a child table.
 
     ``any``: set when some child row qualifies. ``first``: the answer of the first
-    child row alone.
+    child row alone, which needs an ``order``.
     """
     tests = {name: F.when(test, 1).otherwise(0) for name, test in flags.items()}
     if mode == "any":

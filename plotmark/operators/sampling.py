@@ -10,20 +10,22 @@ BUCKETS = 1 << 16
 def sample_n(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows in the order of a seeded hash of their id.
 
-    Hashes are counted in buckets first, so only the buckets that hold the n
-    smallest hashes are sorted.
+    Hashes are counted in buckets first. All rows of the buckets below the last one needed
+    belong to the sample; only the last bucket, about one row in 65,536, is ordered.
     """
     rank = F.xxhash64(F.lit(seed), F.col(id))
     bucket = F.shiftrightunsigned(rank, 48)
     marked = df.withColumns({"_rank": rank, "_bucket": bucket})
     upto = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     counts = marked.groupBy("_bucket").count().withColumn("upto", upto)
-    last = counts.agg(
-        F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("_bucket"))), F.lit(BUCKETS)).alias("b")
-    ).scalar()
-    near = marked.filter(F.col("_bucket") <= last)
+    last = F.min_by(F.struct("_bucket", (F.col("upto") - F.col("count")).alias("below")), "_bucket")
+    cut = counts.filter(F.col("upto") >= n).agg(last.alias("cut")).first()["cut"]
+    if cut is None:
+        return df
     # An unsigned hash order: the bucket decides first, the signed rest within a bucket.
-    return near.orderBy("_bucket", "_rank", id).limit(n).drop("_rank", "_bucket")
+    inside = marked.filter(F.col("_bucket") < cut["_bucket"])
+    rest = marked.filter(F.col("_bucket") == cut["_bucket"]).orderBy("_rank", id).limit(n - cut["below"])
+    return inside.unionByName(rest).drop("_rank", "_bucket")
 
 
 def sample_groups(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

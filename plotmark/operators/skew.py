@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotmark.session import materialize, materialize_counted
+from plotmark.session import bytes_of, materialize
 
-# One row per group; up to this many rows the aggregates are sent to every executor.
-MAX_BROADCAST_ROWS = 100_000
+# A table of groups is sent to every executor up to this many bytes of its written form.
+MAX_BROADCAST_BYTES = 8 << 20
 # Any group outside the largest HEAVY_GROUPS holds under 1/HEAVY_GROUPS of the rows.
 HEAVY_GROUPS = 4096
 
 
-def attach_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, how: str = "left") -> DataFrame:
+def attach_groups(
+    df: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    how: str = "left",
+    max_bytes: int | None = None,
+    counts: Callable[[], DataFrame] | None = None,
+) -> DataFrame:
     """Join one row per group back to the rows of the group.
 
-    The aggregates are written first, which counts them. A small table is broadcast.
+    The aggregates are written first, which measures them. A small table is broadcast.
     From a larger one only the biggest groups are, so their rows never move; what is
     left has no large group and is joined by key. Rows with a null key keep null
     values, as they belong to no group. ``stats`` has one row per key and a row count
-    column ``size``, which is dropped.
+    column ``size``, which is dropped; ``counts`` gives (keys, count) in its place where
+    ``stats`` does not come from the rows.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how must be left or inner, not {how}")
     keys = list(keys)
-    table, seen = materialize_counted(stats.withColumnRenamed(size, "_size"), "groups", rows=F.count("*"))
-    if seen["rows"] <= MAX_BROADCAST_ROWS:
+    table = materialize(stats.withColumnRenamed(size, "_size"), "groups")
+    if bytes_of(table) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes):
         joined = df.join(F.broadcast(table.drop("_size")), keys, how)
         values = [c for c in stats.columns if c not in keys and c != size]
         return joined.select(*df.columns, *values)
+    if counts is not None:
+        table = table.drop("_size").join(counts().withColumnRenamed("count", "_size"), keys, "left").fillna({"_size": 0})
     return _split_join(df, table, keys, how)
 
 

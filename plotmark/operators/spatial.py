@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plotmark.sources.layout import ring_bbox
 
@@ -38,15 +38,18 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         return straddles & (x < at)
 
     edges = F.sequence(F.lit(1), F.size(ring))
-    odd = F.aggregate(edges, F.lit(False), lambda acc, i: acc != F.coalesce(crosses(i), F.lit(False)))
-    return odd
+    return F.aggregate(edges, F.lit(False), lambda acc, i: acc != F.coalesce(crosses(i), F.lit(False)))
+
+
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Inside an odd number of rings: holes and separate parts are further rings."""
+    return F.aggregate(rings, F.lit(False), lambda acc, r: acc != in_ring(x, y, r))
 
 
 def points_in_polygons(
     points: DataFrame,
     polygons: DataFrame,
     how: str = "left",
-    id: str = "id",
     x: str = "x",
     y: str = "y",
     poly_id: str = "poly_id",
@@ -54,19 +57,26 @@ def points_in_polygons(
 ) -> DataFrame:
     """Each point with the polygon it lies in, the least id if there are several.
 
+    ``ring`` is one ring of a polygon, or an array of rings for one with holes or several
+    parts. Points are placed once per location and matched to their rows by it, so
+    repeated ids or copies of a point do no harm.
+
     Every polygon is listed under a few cells of its own size class, and a point
     under its cell of each class in use, so the candidates of a point are shapes of
     about the size of their cell, however small or large. The join is a plain equality
     on the cell: Spark broadcasts a small side and splits a crowded cell.
     """
-    boxes = polygons.select(poly_id, F.col(ring).alias("_ring")).withColumns(ring_bbox(F.col("_ring")))
+    nested = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
+    rings = F.col(ring) if nested else F.array(ring)
+    boxes = polygons.select(poly_id, rings.alias("_rings")).withColumns(ring_bbox(F.flatten("_rings")))
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     shapes = _cells(boxes.withColumn("_level", _level(extent)), F.col("_level"))
     classes = boxes.select(_level(extent).alias("l")).agg(F.collect_set("l").alias("ls")).scalar()
     px, py = F.col("_x"), F.col("_y")
     spots = (
-        points.select(F.col(id).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .dropna()
+        .distinct()
         .withColumn("_level", F.explode(classes))
         .withColumn(
             "_cell",
@@ -80,11 +90,10 @@ def points_in_polygons(
         px.between(F.col("min_x"), F.col("max_x")) & py.between(F.col("min_y"), F.col("max_y"))
     )
     matches = (
-        candidates.filter(in_ring(px, py, F.col("_ring")))
-        .groupBy(F.col("_id").alias(id))
-        .agg(F.min(poly_id).alias(poly_id))
+        candidates.filter(in_rings(px, py, F.col("_rings"))).groupBy("_x", "_y").agg(F.min(poly_id).alias(poly_id))
     )
-    return points.join(matches, id, how)
+    at = (points[x].cast("double") == matches["_x"]) & (points[y].cast("double") == matches["_y"])
+    return points.join(matches, at, how).drop("_x", "_y")
 
 
 def rectangle_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
@@ -119,24 +128,42 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataF
     hi_x, hi_y = F.least("a_max_x", "b_max_x"), F.least("a_max_y", "b_max_y")
     size = F.pow(F.lit(2.0), F.col("_level"))
     here = (F.col("_cell.x") == F.floor(lo_x / size)) & (F.col("_cell.y") == F.floor(lo_y / size))
+    shared = {"min_x": lo_x, "min_y": lo_y, "max_x": hi_x, "max_y": hi_y}
     return (
         left.join(right, ["_level", "_cell"])
         .filter((F.col("_level") == F.greatest("a__own", "b__own")) & here & (lo_x < hi_x) & (lo_y < hi_y))
-        .select(a_id, b_id, ((hi_x - lo_x) * (hi_y - lo_y)).alias("area"))
+        .select(a_id, b_id, ((hi_x - lo_x) * (hi_y - lo_y)).alias("area"), *[v.alias(n) for n, v in shared.items()])
     )
 
 
+def covered_area(clipped: DataFrame, id: str) -> DataFrame:
+    """(id, covered): the area of the union of each id's boxes.
+
+    The distinct vertical edges of an id cut it into slabs; in each slab the boxes that
+    cross it are intervals, whose union is summed from their running end.
+    """
+    edges = clipped.select(id, F.explode(F.array("min_x", "max_x")).alias("_from")).distinct()
+    after = F.lead("_from").over(Window.partitionBy(id).orderBy("_from"))
+    slabs = edges.withColumn("_to", after).filter(F.col("_to").isNotNull())
+    crossing = clipped.join(slabs, id).filter((F.col("min_x") <= F.col("_from")) & (F.col("max_x") >= F.col("_to")))
+    before = Window.partitionBy(id, "_from").orderBy("min_y", "max_y").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest("min_y", F.coalesce(F.max("max_y").over(before), F.col("min_y")))
+    gain = F.greatest(F.col("max_y") - reached, F.lit(0.0)) * (F.col("_to") - F.col("_from"))
+    return crossing.select(id, gain.alias("_gain")).groupBy(id).agg(F.sum("_gain").alias("covered"))
+
+
 def bbox_overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, how: str = "intersection") -> DataFrame:
     """Rectangle overlay (G6): shared areas of pairs, or what is left of each ``a`` box.
 
-    The remainder assumes that the boxes of ``b`` do not overlap each other.
+    Boxes of ``b`` may overlap each other: what several of them cover is taken off once.
     """
     pairs = overlapping_boxes(a, b, a_id, b_id)
     if how == "intersection":
-        return pairs
+        return pairs.select(a_id, b_id, "area")
     if how != "difference":
         raise ValueError(f"how must be intersection or difference, not {how}")
     own = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    covered = pairs.groupBy(a_id).agg(F.sum("area").alias("_covered"))
+    covered = covered_area(pairs, a_id).withColumnRenamed("covered", "_covered")
     left = own - F.coalesce(F.col("_covered"), F.lit(0.0))
-    return a.join(covered, a_id, "left").select(a_id, left.alias("area")).filter(F.col("area") > 0)
+    # What is left of a box that is fully covered is a rounding error of its area.
+    return a.join(covered, a_id, "left").filter(left > 1e-12 * own).select(a_id, left.alias("area"))

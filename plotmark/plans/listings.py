@@ -16,10 +16,11 @@ def listing_fee_by_area(listings: DataFrame, zip_county: DataFrame, divisions: D
     """Median positive fee by county (with enough listings) and by division.
 
     A division median includes the listings of small counties, but a division is
-    shown only when it has a county that is large enough.
+    shown only when it has a county that is large enough. A code in several counties
+    counts for the one with the least identifier.
     """
     county = first_per_key(
-        zip_county.select(zero_pad("ZCTA5", 5).alias("zip5"), zero_pad("GEOID", 5).alias("county")), "zip5"
+        zip_county.select(zero_pad("ZCTA5", 5).alias("zip5"), zero_pad("GEOID", 5).alias("county")), "zip5", ["county"]
     )
     fees = listings.select(clean_zip(F.col(f"`{zip}`")).alias("zip5"), F.col(f"`{fee}`").alias("fee")).filter("fee > 0")
     placed = lookup(fees, county, "zip5", "inner").withColumn("state_code", gisjoin_state("county"))
@@ -35,9 +36,9 @@ def listing_fee_by_area(listings: DataFrame, zip_county: DataFrame, divisions: D
     )
 
 
-def listing_fee_by_polygon(listings: DataFrame, polygons: DataFrame, id: str, lon: str, lat: str, fee: str, poly_id: str = "GISJOIN") -> DataFrame:
+def listing_fee_by_polygon(listings: DataFrame, polygons: DataFrame, lon: str, lat: str, fee: str, poly_id: str = "GISJOIN") -> DataFrame:
     """Per polygon: listings, those with a fee, their share and mean fee (C11)."""
-    placed = points_in_polygons(valid_points(listings, lon, lat), polygons, "inner", id, lon, lat, poly_id)
+    placed = points_in_polygons(valid_points(listings, lon, lat), polygons, "inner", lon, lat, poly_id)
     fees = F.col(f"`{fee}`")
     density = share_within(placed, poly_id, fees.isNotNull())
     means = placed.groupBy(poly_id).agg(F.avg(fees).alias("fee_mean"))

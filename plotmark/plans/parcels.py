@@ -20,10 +20,12 @@ from plotmark.functions.scalars import (
     top_code,
 )
 from plotmark.operators.areas import coverage_filter
-from plotmark.operators.records import assemble, child_flag, ever_flag, first_per_key, flag_counts, largest_per_key
+from plotmark.operators.records import assemble, child_flag, ever_flag, first_per_key, first_values, flag_counts, largest_per_key
 from plotmark.plans import codes
 from plotmark.sources.contracts import lookup
 
+# The column that numbers the records of a parcel in every assessment table.
+SEQUENCE = "SequenceNumber"
 # Rider columns of the transaction table.
 RIDERS = {"pud": "PlannedUnitDevelopmentRiderFlag", "condo": "CondominiumRiderFlag"}
 
@@ -34,7 +36,12 @@ def linked_transactions(tx_main: DataFrame, property_info: DataFrame) -> DataFra
 
 
 def parcel_status(
-    main: DataFrame, building: DataFrame, tx_main: DataFrame, property_info: DataFrame, min_county: int = 5000
+    main: DataFrame,
+    building: DataFrame,
+    tx_main: DataFrame,
+    property_info: DataFrame,
+    min_county: int = 5000,
+    sequence: str = SEQUENCE,
 ) -> DataFrame:
     """One row per single-family parcel with its ever-flagged status.
 
@@ -42,7 +49,7 @@ def parcel_status(
     the flag and are left out.
     """
     houses = building.filter(F.col("PropertyLandUseStndCode") == codes.SINGLE_FAMILY)
-    parcels = first_per_key(main.join(houses, "RowID"), "RowID")
+    parcels = first_per_key(main.join(houses, "RowID"), "RowID", [sequence]).drop(sequence)
     status = ever_flag(
         linked_transactions(tx_main, property_info),
         "ImportParcelID",
@@ -60,15 +67,16 @@ def parcel_status(
     return coverage_filter(placed, "hoa", "county", "state", min_county)
 
 
-def parcel_features(tables: Mapping[str, DataFrame], tx_main: DataFrame, property_info: DataFrame, metros: DataFrame, mode: str = "any") -> DataFrame:
+def parcel_features(tables: Mapping[str, DataFrame], tx_main: DataFrame, property_info: DataFrame, metros: DataFrame, mode: str = "any", sequence: str = SEQUENCE) -> DataFrame:
     """Wide table of transacted single-family parcels built since 1960.
 
     ``tables`` holds the assessment tables by name. Every child table is reduced to
-    one row per parcel before it is joined.
+    one row per parcel before it is joined: the first one by the number in ``sequence``
+    where a single record counts.
     """
     key = "RowID"
     c = F.col
-    building = first_per_key(tables["Building"], key).select(
+    building = first_per_key(tables["Building"], key, [sequence]).select(
         key,
         "NoOfUnits",
         "YearBuilt",
@@ -96,26 +104,25 @@ def parcel_features(tables: Mapping[str, DataFrame], tx_main: DataFrame, propert
     appeal, floor = tables["LotSiteAppeal"], tables["InteriorFlooring"]
     areas, garage, extra = tables["BuildingAreas"], tables["Garage"], tables["ExtraFeature"]
     children = [
-        first_per_key(tables["Value"].select(key, "TotalAssessedValue"), key),
+        first_per_key(tables["Value"].select(key, sequence, "TotalAssessedValue"), key, [sequence]).drop(sequence),
         child_flag(appeal, key, {
             "waterfrnt": c("LotSiteAppealStndCode").isin(*codes.WATERFRONT),
             "golf": c("LotSiteAppealStndCode").isin(*codes.GOLF),
-        }, mode),
+        }, mode, [sequence]),
         largest_per_key(areas, key, "BuildingAreaSqFt",
                         (c("BuildingAreaSequenceNumber") == 1) & c("BuildingAreaStndCode").isin(*codes.LIVING_AREAS)),
         child_flag(floor, key, {
             "carpet_fl": c("InteriorFlooringTypeStndCode").isin(*codes.CARPET),
             "wood_fl": c("InteriorFlooringTypeStndCode").isin(*codes.WOOD_FLOOR),
-        }, mode),
-        first_per_key(tables["ExteriorWall"].select(key, "ExteriorWallStndCode"), key).select(
+        }, mode, [sequence]),
+        first_per_key(tables["ExteriorWall"].select(key, sequence, "ExteriorWallStndCode"), key, [sequence]).select(
             key, category("ExteriorWallStndCode", codes.WALL_GROUPS).alias("extwall")),
-        first_per_key(garage.select(key, "GarageAreaSqFt"), key, not_null="GarageAreaSqFt"),
-        first_per_key(garage.select(key, "GarageNoOfCars"), key, not_null="GarageNoOfCars"),
+        first_values(garage, key, ["GarageAreaSqFt", "GarageNoOfCars"], sequence),
         child_flag(extra, key, {
             "deck": c("ExtraFeaturesStndCode").isin(*codes.DECK),
             "fence": c("ExtraFeaturesStndCode").startswith(codes.FENCE_PREFIX),
-        }, mode),
-        child_flag(tables["Pool"], key, {"pool": c("PoolStndCode").isin(*codes.POOL)}, mode),
+        }, mode, [sequence]),
+        child_flag(tables["Pool"], key, {"pool": c("PoolStndCode").isin(*codes.POOL)}, mode, [sequence]),
         tables["Oby"].groupBy(key).agg(F.coalesce(F.sum("OBYAreaSqFt"), F.lit(0.0)).alias("oby_sqft")),
     ]
     absent = ["GarageAreaSqFt", "GarageNoOfCars", "pool", "deck", "golf", "waterfrnt", "carpet_fl", "wood_fl", "fence"]

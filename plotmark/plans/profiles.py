@@ -104,10 +104,15 @@ def census_weighted_profile(parcels: DataFrame, census: DataFrame, groups: Seque
     return profile, exposure
 
 
-def group_summary_table(parcels: DataFrame, transactions: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Property means under four groupings, and rows left at each stage."""
+def group_summary_table(
+    parcels: DataFrame, transactions: DataFrame, columns: Sequence[str], sequence: str = "TransId"
+) -> tuple[DataFrame, DataFrame]:
+    """Property means under four groupings, and rows left at each stage.
+
+    A parcel counts with its first transaction by ``sequence``.
+    """
     own = ["hoa", "hoa_neigh", "YearBuilt"]
-    sold = first_per_key(transactions.drop(*own, *[c for c in parcels.columns if c != "RowID"]), "RowID")
+    sold = first_per_key(transactions.drop(*own, *[c for c in parcels.columns if c != "RowID"]), "RowID", [sequence])
     df = parcels.join(sold.withColumns({c: F.exp(c) for c in LOGGED if c in sold.columns}), "RowID", "left")
     zero_unknown = [c for c in ("bdrms", "baths", "totrms", "llota") if c in df.columns]
     df = df.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in zero_unknown})

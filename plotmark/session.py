@@ -35,7 +35,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared:
         return shared
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"{CHECKPOINT_KEY} is not set: intermediate tables need a shared folder")
     folder = context.getCheckpointDir()
     if folder is None:
@@ -66,6 +66,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of the files behind a written table, from their listing."""
+    spark = table.sparkSession
+    total = 0
+    for name in table.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
 def materialize_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """Like ``materialize``, with aggregates taken while the table is written."""
     seen = Observation()

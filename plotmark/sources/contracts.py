@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotmark.operators.skew import MAX_BROADCAST_ROWS, attach_groups
+from plotmark.operators.skew import attach_groups
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -18,23 +18,24 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup(
-    df: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left", max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    df: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left", max_bytes: int | None = None
 ) -> DataFrame:
-    """Many-to-one join to a dimension table.
+    """Many-to-one left or inner join to a dimension table.
 
-    One small job on the dimension checks that its key is unique and counts its
-    rows. Up to ``max_broadcast_rows`` it is sent to every executor; a larger one
-    is joined by key, with the most frequent keys of ``df`` handled apart.
+    The columns are those of ``df`` followed by the dimension's values, whatever the
+    sizes; a value column that ``df`` has too is refused. One small job on the dimension
+    checks that its key is unique. It is then joined as a group attribute: sent to every
+    executor if its written size is small, otherwise joined by key with the most frequent
+    keys of ``df`` handled apart.
     """
     on = [on] if isinstance(on, str) else list(on)
-    sizes = dim.groupBy(*on).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
-    if (sizes["most"] or 0) > 1:
-        raise ValueError(f"lookup key {on} is not unique")
-    if (sizes["rows"] or 0) <= max_broadcast_rows:
-        return df.join(F.broadcast(dim), on, how)
-    used = df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows")).join(dim, on)
-    return attach_groups(df, used, on, "_rows", how=how)
-
+    if how not in ("left", "inner"):
+        raise ValueError(f"how must be left or inner, not {how}")
+    if clash := sorted((set(df.columns) & set(dim.columns)) - set(on)):
+        raise ValueError(f"both tables have {clash}")
+    assert_unique(dim.dropna(subset=on), on)
+    sized = dim.dropna(subset=on).withColumn("_rows", F.lit(1))
+    return attach_groups(df, sized, on, "_rows", how, max_bytes, lambda: df.dropna(subset=on).groupBy(*on).count())
 
 def semi_scan(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """Rows whose key occurs in ``values``; the key list never leaves the executors."""

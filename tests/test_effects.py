@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plotmark.models.additive import additive_ols
 from plotmark.plans import effects
 
 
@@ -55,6 +56,20 @@ def test_additive_effect_by_group(sales):
     assert len(got) == 4 and (abs(got.coef - (0.1 - 0.004 * 19.5)) < 0.03).all()
 
 
+def test_additive_fit_does_not_depend_on_other_groups(spark):
+    """Groups on ranges far apart are fitted as if each were alone."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 1, 1500)
+    k = np.arange(1500) % 5
+    y = np.sin(6 * x) + 0.05 * rng.normal(size=1500)
+    df = spark.createDataFrame(pd.DataFrame({"k": k, "x": x + 100.0 * k, "t": rng.normal(size=1500), "y": y}))
+    together = additive_ols(df, "y", ["t"], ["x"], by="k").filter("k = 3").toPandas()
+    alone = additive_ols(df.filter("k = 3"), "y", ["t"], ["x"]).toPandas()
+    for c in ("coef", "edf", "r2"):
+        np.testing.assert_allclose(together[c].astype(float), alone[c].astype(float), rtol=1e-6)
+    assert together.r2.min() > 0.95 and together.edf.max() > 4
+
+
 def test_results_rows(sales):
     from plotmark.models.linear import ols
 

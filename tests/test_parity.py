@@ -80,6 +80,8 @@ def test_first_per_key_is_deterministic(spark):
         df = spark.createDataFrame(rows, "k int, seq int, v string").repartition(parts)
         got = {r.k: r.v for r in records.first_per_key(df, "k", ["seq"]).collect()}
         assert got == {1: "a", 2: None, None: "n"}
+    with pytest.raises(ValueError):
+        records.first_per_key(df, "k", [])
     known = records.first_per_key(df, "k", ["seq"], not_null="v")
     assert {r.k for r in known.collect()} == {1, None}
 

@@ -36,11 +36,13 @@ def cases():
     yield "one long chain", line
 
 
-@pytest.mark.parametrize("name,x", list(cases()), ids=[n for n, _ in cases()])
-@pytest.mark.parametrize("direct", [1024, 4])
+def runs():
+    """Every case, and again with halving for the one with dense cells."""
+    return [(n, x, d) for n, x in cases() for d in ([1024, 4] if "dense" in n else [1024])]
+
+
+@pytest.mark.parametrize("name,x,direct", runs(), ids=[f"{n}-{d}" for n, _, d in runs()])
 def test_dbscan(spark, monkeypatch, name, x, direct):
-    if direct == 4 and "dense" not in name:
-        pytest.skip("only dense cells are halved")
     monkeypatch.setattr(grid, "DIRECT_PAIRS", direct)
     ids = np.random.default_rng(0).permutation(len(x))
     axes = [f"x{i}" for i in range(x.shape[1])]
@@ -86,6 +88,32 @@ def test_polygon_edges_belong_to_one_side(spark):
     assert spatial.points_in_polygons(df, polygons, "inner").count() == 3
 
 
+def test_repeated_ids_keep_their_own_place(spark):
+    square = spark.range(1).select(F.lit(1).alias("poly_id"), ring((0, 0), (1, 0), (1, 1), (0, 1)).alias("ring"))
+    df = spark.createDataFrame([(7, 0.5, 0.5), (7, 9.0, 9.0), (7, 0.5, 0.5), (None, 0.1, 0.1)], "id int, x double, y double")
+    got = sorted((r.x, r.poly_id) for r in spatial.points_in_polygons(df, square).collect())
+    assert got == [(0.1, 1), (0.5, 1), (0.5, 1), (9.0, None)]
+
+
+def test_holes_and_parts(spark):
+    hole = F.array(ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (3, 1), (3, 3), (1, 3)))
+    parts = F.array(ring((10, 0), (11, 0), (11, 1), (10, 1)), ring((20, 0), (21, 0), (21, 1), (20, 1)))
+    one = spark.range(1)
+    shapes = one.select(F.lit(1).alias("poly_id"), hole.alias("ring")).unionByName(one.select(F.lit(2).alias("poly_id"), parts.alias("ring")))
+    points = [(0, 0.5, 2.0), (1, 2.0, 2.0), (2, 10.5, 0.5), (3, 15.0, 0.5), (4, 20.5, 0.5)]
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    got = {r.id: r.poly_id for r in spatial.points_in_polygons(df, shapes).collect()}
+    assert got == {0: 1, 1: None, 2: 2, 3: None, 4: 2}
+
+
+def test_difference_takes_shared_cover_off_once(spark):
+    box = "id int, min_x double, min_y double, max_x double, max_y double"
+    a = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 6.0), (3, 0.0, 0.0, 0.1, 0.1)], box)
+    b = spark.createDataFrame([(1, 0.0, 0.0, 0.6, 1.0), (2, 0.0, 0.0, 0.6, 1.0), (3, 0.5, 0.0, 0.7, 0.5)], box).withColumnRenamed("id", "b")
+    got = {r.id: round(r.area, 9) for r in spatial.bbox_overlay(a, b, "id", "b", "difference").collect()}
+    assert got == {1: 0.35, 2: 1.0}
+
+
 def test_polygons_of_very_different_size(spark):
     rng = np.random.default_rng(5)
     shapes, boxes = None, []

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plotmark.models import moments
 from plotmark.operators import sampling, skew, summaries
 from plotmark.sources import contracts
 
@@ -23,7 +24,7 @@ def test_split_join_equals_broadcast(spark, monkeypatch, how):
     df = uneven(spark)
     stats = df.dropna(subset=["k"]).groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     plain = skew.attach_groups(df, stats, ["k"], "n", how).toPandas()
-    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", 0)
     monkeypatch.setattr(skew, "HEAVY_GROUPS", 3)
     split = skew.attach_groups(df, stats, ["k"], "n", how).toPandas()
     order = ["k", "v", "m"]
@@ -34,9 +35,39 @@ def test_large_lookup_equals_broadcast(spark):
     df = uneven(spark)
     dim = df.dropna().select("k").distinct().withColumn("code", F.length("k"))
     small = contracts.lookup(df, dim, "k").toPandas()
-    large = contracts.lookup(df, dim, "k", max_broadcast_rows=0).toPandas()
+    large = contracts.lookup(df, dim, "k", max_bytes=0).toPandas()
     order = ["k", "v"]
-    pd.testing.assert_frame_equal(small.sort_values(order, ignore_index=True), large.sort_values(order, ignore_index=True)[small.columns], check_dtype=False)
+    pd.testing.assert_frame_equal(small.sort_values(order, ignore_index=True), large.sort_values(order, ignore_index=True), check_dtype=False)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "right", "full", "left_semi", "left_anti"])
+def test_lookup_has_one_contract(spark, how):
+    """Columns, rows and refusals do not depend on the sizes."""
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k int, row string")
+    dim = spark.createDataFrame([("x", 2, "n"), ("y", 3, "m")], "z string, k int, name string")
+    found = []
+    for limit in (0, None):
+        try:
+            out = contracts.lookup(df, dim, "k", how, max_bytes=limit)
+            found.append((out.columns, sorted(map(str, out.collect()))))
+        except ValueError as e:
+            found.append(str(e))
+        with pytest.raises(ValueError):
+            contracts.lookup(df, dim.withColumnRenamed("name", "row"), "k", max_bytes=limit)
+    assert found[0] == found[1]
+    if how in ("left", "inner"):
+        assert found[0][0] == ["k", "row", "z", "name"]
+
+
+def test_batches_give_one_triangle_per_group_and_task(spark):
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame(rng.normal(size=(20_000, 3)), columns=list("abc"))
+    pdf["k"] = rng.integers(0, 1000, len(pdf))
+    df = spark.createDataFrame(pdf).repartition(4)
+    products = moments.batch_products(df, ["k"], ["a", "b", "c"])
+    assert products.count() <= 4 * 1000 * 6
+    sums = products.filter("i = 0 AND j = 1").groupBy("k").agg(F.sum("s").alias("s")).toPandas().set_index("k").s
+    np.testing.assert_allclose(sums.sort_index(), (pdf.a * pdf.b).groupby(pdf.k).sum(), atol=1e-9)
 
 
 @pytest.mark.parametrize("ties", [False, True])
