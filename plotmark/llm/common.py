@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-# Objects of this Python worker (models, memos). Workers are reused, so each is made once.
+# Objects of this Python worker (models, memos), the latest last. Workers are reused, so an
+# object is made once per worker; only the latest few stay, or memory would grow by the stage.
 _HELD: dict[Hashable, Any] = {}
+_HOLD = 2
 
 
 class Memo(dict):
@@ -35,8 +37,13 @@ class Memo(dict):
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """One object per worker and key."""
-    if key not in _HELD:
+    """One object per worker and key, while it is among the latest used."""
+    if key in _HELD:
+        if key != next(reversed(_HELD)):
+            _HELD[key] = _HELD.pop(key)
+    else:
+        while len(_HELD) >= _HOLD:
+            del _HELD[next(iter(_HELD))]
         _HELD[key] = make()
     return _HELD[key]
 

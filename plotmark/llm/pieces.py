@@ -115,7 +115,7 @@ class Backtracker:
         for piece in model.ids:
             self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
-        self.fits = Memo(lambda pair: self.merge(pair[0] + pair[1]) == list(pair), limit=300_000)
+        self.fits = Memo(lambda pair: self.merge(pair[0] + pair[1]) == list(pair), limit=200_000)
         # Characters that are no piece fall back to their UTF-8 bytes.
         bytes_at = [model.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.ids_of = Memo(
@@ -186,7 +186,7 @@ def encode_pieces(
     def encoder():
         pieces = PieceModel(model.value)
         back = Backtracker(pieces)
-        return pieces.library, Memo(back.encode, limit=500_000)
+        return pieces.library, Memo(back.encode, limit=400_000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, known = held(("pieces", digest), encoder)
