@@ -109,6 +109,44 @@ def grouped_ols(spark, sf):
     return fit.select("s_nationkey", "term", *[r6(c).alias(c) for c in ("coef", "se", "lo", "hi")], "n")
 
 
+# Dummies for twelve levels within each line status, with the status absorbed, equal absorbed pairs of status and level.
+PAIR = "l_linestatus, CAST(l_quantity AS BIGINT) % 13"
+WIDE = [f"{status}{k}" for status in "FO" for k in range(1, 13)]
+
+
+def wide_rows(spark, sf):
+    level = F.col("l_quantity").cast("long") % 13
+    return regression_rows(spark, sf).withColumns(
+        {w: ((F.col("l_linestatus") == w[0]) & (level == int(w[1:]))).cast("int") for w in WIDE}
+    )
+
+
+def of_interest(fit, *keys):
+    return coefficients(fit.filter(F.col("term").isin("x1", "x2")), *keys)
+
+
+@query(f"""WITH {SQL_ROWS}, {within(PAIR)}, m AS (SELECT {SUMS}, count(DISTINCT ({PAIR})) AS g FROM w), f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m)
+ SELECT 'x1' AS term, round(b1, 6) AS coef, round({plain_se('c')}, 6) AS se, n FROM f
+ UNION ALL SELECT 'x2', round(b2, 6), round({plain_se('a')}, 6), n FROM f""")
+def wide_absorb_ols(spark, sf):
+    """Twenty-six regressors and an absorbed effect: the batch path."""
+    return of_interest(linear.ols(wide_rows(spark, sf), "y", ["x1", "x2", *WIDE], "l_linestatus"))
+
+
+@query(f"WITH {SQL_ROWS}, {sql_clustered(PAIR, 's_nationkey')}")
+def wide_cluster_se(spark, sf):
+    return of_interest(linear.ols(wide_rows(spark, sf), "y", ["x1", "x2", *WIDE], "l_linestatus", "s_nationkey"))
+
+
+@query(f"""WITH {SQL_ROWS}, {within('s_nationkey, ' + PAIR)}, m AS (SELECT s_nationkey, {SUMS}, count(DISTINCT ({PAIR})) AS g FROM w GROUP BY 1),
+ f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m), t AS (
+ SELECT s_nationkey, 'x1' AS term, b1 AS coef, {plain_se('c')} AS se, n FROM f UNION ALL SELECT s_nationkey, 'x2', b2, {plain_se('a')}, n FROM f)
+ SELECT s_nationkey, term, round(coef, 6) AS coef, round(se, 6) AS se, n FROM t""")
+def wide_grouped_ols(spark, sf):
+    fit = linear.ols(wide_rows(spark, sf), "y", ["x1", "x2", *WIDE], "l_linestatus", by="s_nationkey")
+    return of_interest(fit, "s_nationkey")
+
+
 @query(f"""WITH {SQL_ROWS}, z AS (SELECT s_nationkey, count(*) AS n, count(DISTINCT CASE WHEN s_nationkey % 2 = 0 THEN 1.0 ELSE x1 END) AS k FROM d GROUP BY 1)
  SELECT s_nationkey, n, CASE WHEN k < 2 THEN 'collinear' END AS reason FROM z""")
 def singular_groups(spark, sf):

@@ -37,6 +37,22 @@ def filtered_text_scan(spark, sf):
     return semi_scan(scan, "l_orderkey", wanted)
 
 
+@query("""SELECT c_nationkey, count(*) AS records, count(*) FILTER (c_custkey % 7 = 0 OR c_custkey % 11 = 0) AS rejected,
+ CAST(sum(CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 0 ELSE c_custkey END) AS BIGINT) AS good,
+ CAST(sum(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey * 2 END) AS BIGINT) AS amount FROM customer GROUP BY 1""")
+def rejected_records(spark, sf):
+    """Records with a surplus field or text in place of a number are told apart from good ones."""
+    k = F.col("c_custkey")
+    amount = F.when(k % 7 == 0, "x").otherwise((k * 2).cast("string"))
+    line = F.concat_ws("|", k, "c_nationkey", amount, F.when(k % 11 == 0, "surplus"))
+    path = scratch_path(spark, "rejects")
+    table(spark, sf, "customer").select(line).write.text(path)
+    schema = T.StructType.fromDDL("c_custkey bigint, c_nationkey int, amount bigint")
+    df = layout.read_delimited(spark, path, schema, reject_column="bad")
+    good = F.when(F.col("bad").isNull(), F.col("c_custkey")).otherwise(0)
+    return df.groupBy("c_nationkey").agg(F.count("*").alias("records"), F.count("bad").alias("rejected"), F.sum(good).alias("good"), F.sum("amount").alias("amount"))
+
+
 @query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, n_name FROM nation")
 def csv_with_header(spark, sf):
     """Codes with leading zeros stay text; only the wanted columns are parsed."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.roles import SQL_STATUS, parcels, query, r6, table
 from plotmark.functions import scalars as S
 from plotmark.models.screening import correlation
+from plotmark.operators.numbering import group_number
 from plotmark.operators import sampling, summaries
 from plotmark.operators.areas import group_means
 from plotmark.sources.contracts import assert_unique, lookup
@@ -149,14 +150,11 @@ def group_means_by(spark, sf):
     return found.select("l_returnflag", "l_linestatus", r6("l_quantity").alias("l_quantity"), r6("l_tax").alias("l_tax"))
 
 
-@query("""SELECT l_suppkey, l_linenumber, count(*) AS n, CAST(min(l_orderkey) AS BIGINT) AS least FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, dense_rank() OVER (ORDER BY l_suppkey, l_linenumber) AS group_id FROM lineitem""")
 def group_identifier(spark, sf):
-    """Rows counted by a hashed identifier of the key pair, which must split exactly like the pair."""
-    df = table(spark, sf, "lineitem").withColumn("gid", F.xxhash64("l_suppkey", "l_linenumber"))
-    return df.groupBy("gid").agg(
-        F.min("l_suppkey").alias("l_suppkey"), F.max("l_linenumber").alias("l_linenumber"),
-        F.count("*").alias("n"), F.min("l_orderkey").alias("least"),
-    ).drop("gid")
+    """Dense number of each row's key pair."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return group_number(df, ["l_suppkey", "l_linenumber"])
 
 
 @query("""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END AS fips,

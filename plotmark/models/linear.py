@@ -13,11 +13,13 @@ from plotmark.models.moments import (
     NARROW,
     batch_products,
     cell_sums,
+    centre_of,
     moments,
     pack_products,
     prepare,
     shifted,
     triangle,
+    wide_moments,
 )
 from plotmark.models.numeric import solve_ols, t_pvalue, unpack
 from plotmark.operators.skew import attach_groups
@@ -202,13 +204,13 @@ def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb:
 
 def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: list[str], cluster: list[str]) -> DataFrame:
     """As above for many columns: a second scan sums residual scores instead of products."""
-    complete = df.dropna(subset=[*by, *absorb, *cluster])
-    stats = materialize(moments(complete, columns, by, absorb), "moments")
     work, b, a, c, v = prepare(df, columns, by, absorb, cluster)
+    work = materialize(work, "model")
+    stats = materialize(wide_moments(work, b, a, v), "moments")
     p = len(v) - 1
     xs = v[:p]
     beta = _solution(stats, b, p).join(stats.select(*b, "n"), b)
-    moved = _give_back(shifted(work, v), beta, b, "n", not by)
+    moved = _give_back(shifted(work, centre_of(work, v)), beta, b, "n", not by)
     fitted = " - ".join([v[p], *[f"{x} * beta[{i}]" for i, x in enumerate(xs)]])
     cells = moved.withColumn("e", F.expr(fitted)).groupBy(*b, *a, *c).agg(
         F.count("*").alias("n"),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plotmark.operators.skew import attach_groups
+from plotmark.session import materialize
 
 # Up to this many columns, products are summed by column expressions; beyond, per Arrow batch.
 NARROW = 7
@@ -85,7 +86,7 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absor
     """
     work, b, a, _, v = prepare(df, columns, by, absorb, ())
     if len(v) > NARROW:
-        return _wide_moments(work, b, a, v)
+        return wide_moments(materialize(work, "model"), b, a, v)
     names = [f"{i}_{j}" for i, j in triangle(len(v))]
     cells = cell_sums(work, [*b, *a], v)
     summed = cells.groupBy(*b).agg(
@@ -163,19 +164,21 @@ def pack_products(products: DataFrame, keys: Sequence[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.transform(listed, lambda e: e["s"]).alias("cross"))
 
 
-def centre_of(work: DataFrame, v: Sequence[str]) -> Column:
-    """Overall means as one struct."""
-    return work.agg(F.struct(*[F.avg(x).alias(x) for x in v]).alias("c")).scalar()
+def centre_of(work: DataFrame, v: Sequence[str]) -> dict[str, float]:
+    """Overall means, by one job: as a subquery they would be planned once per column."""
+    return {x: m or 0.0 for x, m in work.agg(*[F.avg(x).alias(x) for x in v]).first().asDict().items()}
 
 
-def shifted(work: DataFrame, v: Sequence[str]) -> DataFrame:
+def shifted(work: DataFrame, centre: dict[str, float]) -> DataFrame:
     """Values around their overall means, so that large offsets do not swamp the products."""
-    moved = work.withColumn("_c", centre_of(work, v))
-    return moved.select(*[c for c in work.columns if c not in v], *[(F.col(x) - F.col(f"_c.{x}")).alias(x) for x in v])
+    return work.select(*[(F.col(c) - centre[c]).alias(c) if c in centre else F.col(c) for c in work.columns])
 
 
-def _wide_moments(work: DataFrame, b: list[str], a: list[str], v: list[str]) -> DataFrame:
-    moved = shifted(work, v)
+def wide_moments(work: DataFrame, b: list[str], a: list[str], v: list[str]) -> DataFrame:
+    """``moments`` of many columns; ``work`` is a written table, as it is scanned several times
+    and the plan of a wide model would otherwise be repeated in each."""
+    centre = centre_of(work, v)
+    moved = shifted(work, centre)
     groups = moved.groupBy(*b, *a).agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in v])
     total = batch_products(moved, b, v)
     between = batch_products(groups, b, v, weight="n").withColumn("s", -F.col("s"))
@@ -185,8 +188,8 @@ def _wide_moments(work: DataFrame, b: list[str], a: list[str], v: list[str]) ->
         F.count("*").alias("groups"),
         *[F.expr(f"sum({x}) / sum(n)").alias(x) for x in v],
     )
-    means = F.array(*[F.expr(f"_c.{x} + {x}") for x in v])
-    return counts.withColumn("_c", centre_of(work, v)).select(*b, "n", "groups", means.alias("means")).join(cross, b)
+    means = F.array(*[F.col(x) + centre[x] for x in v])
+    return counts.select(*b, "n", "groups", means.alias("means")).join(cross, b)
 
 
 def gram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -57,12 +57,21 @@ def read_delimited(
     quote: str | None = None,
     row_cap: int | None = None,
     file_column: str | None = None,
+    reject_column: str | None = None,
 ) -> DataFrame:
     """Read delimited files with a declared schema.
 
     Quoting is off unless ``quote`` is given, so a stray quote mark in a record is
     plain text. Only ``columns`` are parsed (CSV column pruning).
+
+    A record with too many or too few fields, or a field of the wrong type, keeps what could be
+    read. With ``reject_column`` its whole text is in that column, which is null for good
+    records. The number of fields is always checked, a field's type where a query reads it.
+    ``row_cap`` takes any rows, as files have no order.
     """
+    if reject_column:
+        schema = T.StructType([*schema, T.StructField(reject_column, T.StringType())])
+        columns = [*(columns or schema.names[:-1]), reject_column]
     reader = (
         spark.read.schema(schema)
         .option("sep", sep)
@@ -72,6 +81,8 @@ def read_delimited(
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", not header)
     )
+    if reject_column:
+        reader = reader.option("columnNameOfCorruptRecord", reject_column).option("columnPruning", False)
     paths = [path] if isinstance(path, str) else list(path)
     df = reader.csv(paths)
     selected = [F.col(f"`{c}`") for c in (columns or schema.names)]
