@@ -8,7 +8,7 @@ nothing and are left out of the region's text, so they neither end the region no
 
 Weights are log odds of lying in the content, learned from labelled pages: pages whose author
 marked the content with an ``article`` or, without one, a ``main`` element. At most
-``labelled`` of them are used, those with the least ids. Words of such a page score by block
+``labelled`` different ones are used, those with the least hashes of their html. Words of such a page score by block
 and by whether the landmark encloses them; on pages without a landmark, by block alone.
 
 Text is cut into blocks at block elements; character references are decoded, white space in a
@@ -166,19 +166,19 @@ def _key(feature: str, landmark: str | None, inside: bool) -> str:
     return feature if landmark is None else f"{feature}|{'in' if inside else 'out'}"
 
 
-def learn_weights(df: DataFrame, id_col: str, html_col: str, labelled: int) -> dict[str, float]:
+def learn_weights(df: DataFrame, html_col: str, labelled: int) -> dict[str, float]:
     """Log odds of content for each feature, from at most ``labelled`` labelled pages.
 
     Words are clipped to plus or minus ``CLIP``. Tags are never positive, so a run of tags
     without words cannot extend the region.
     """
-    marked = F.lower(html_col)
-    sample = (
-        df.select(F.col(id_col).alias("id"), F.col(html_col).alias("text"))
-        .filter(marked.contains("<article") | marked.contains("<main"))
-        .orderBy("id", "text")
-        .limit(labelled)
-    )
+    low = F.lower("text")
+    marked = df.select(F.col(html_col).alias("text")).filter(low.contains("<article") | low.contains("<main"))
+    hashed = marked.withColumn("hash", F.xxhash64("text"))
+    # Only hashes are ordered in one task; pages are then picked by the last of them.
+    least = hashed.select("hash").distinct().orderBy("hash").limit(labelled)
+    last = least.agg(F.max("hash").alias("last")).first()["last"]
+    sample = hashed.filter(F.col("hash") <= (F.lit(0) if last is None else F.lit(last))).dropDuplicates(["hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = defaultdict(lambda: [0, 0])
@@ -248,11 +248,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in blocks) if t)
 
 
-def main_text(
-    df: DataFrame, id_col: str = "page_id", html_col: str = "html", out_col: str = "text", labelled: int = 500
-) -> DataFrame:
+def main_text(df: DataFrame, html_col: str = "html", out_col: str = "text", labelled: int = 500) -> DataFrame:
     """The table with the main text of each page as ``out_col``, which replaces any such column."""
-    weights = df.sparkSession.sparkContext.broadcast(learn_weights(df, id_col, html_col, labelled))
+    weights = df.sparkSession.sparkContext.broadcast(learn_weights(df, html_col, labelled))
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

@@ -77,8 +77,8 @@ def test_query(spark, sf):
 def test_learned_weights_serve_pages_without_a_landmark(spark, sf):
     """Held out: the landmark's tags are removed from pages that did not teach."""
     df = spark.read.parquet(f"{sf}/pages.parquet")
-    weights = pages.learn_weights(df, "page_id", "html", 20)
-    for r in df.orderBy("page_id").collect()[20:]:
+    weights = pages.learn_weights(df.filter("page_id < 20"), "html", 15)
+    for r in df.filter("page_id >= 20").collect():
         assert pages.extract(re.sub("</?article>", "", r.html), weights) == template_text(r.html)
 
 
