@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import credentials, decontaminate, pages, pieces, quality, sharding, simhash, tokens
+from plotmark.llm import credentials, decontaminate, pages, pieces, quality, sharding, simhash, tokens, urlfilter, urllists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,11 @@ def op5_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query(urllists.ORACLE_SQL)
+def op4_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every capture judged by the list entries that were active when it was fetched."""
+    pages_of = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    judged = urlfilter.judge(urllists.captures(pages_of), urllists.entries(pages_of))
+    return judged.withColumns({"fetched": F.to_date("fetched"), "since": F.to_date("since")})
