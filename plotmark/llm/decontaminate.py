@@ -236,3 +236,25 @@ def benchmark_hits(
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def _sql_words(text: str) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '{word}')"
+
+
+#: The query's rows in DuckDB: every window against every position.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+ items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_sql_words('text')} AS w FROM benchmark),
+ windows AS (SELECT DISTINCT item, k, array_to_string(w[i + 1:i + k], ' ') AS s FROM (
+   SELECT item, w, least({WINDOW}, len(w)) AS k, unnest(range(0, len(w) - least({WINDOW}, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+ places AS (SELECT r, i, k, array_to_string(w[i + 1:i + k], ' ') AS s FROM (
+   SELECT r, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM docs, (SELECT DISTINCT k FROM windows))),
+ hits AS (SELECT r, i, k, item FROM places JOIN windows USING (k, s)),
+ covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r),
+ named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""

@@ -61,7 +61,7 @@ def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf))
 
 
-@query()
+@query(decontaminate.ORACLE_SQL)
 def op6_benchmark_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark windows in every document."""
     hits = decontaminate.benchmark_hits(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
