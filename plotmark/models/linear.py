@@ -235,13 +235,26 @@ def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: li
 def fit_specs(df: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     """Variants of one model stacked under a ``model`` label.
 
-    A spec holds the arguments of ``ols`` and, optionally, ``where`` for its subset.
+    A spec holds the arguments of ``ols`` and, optionally, ``where`` for its subset. The
+    columns and subsets that the specs need are computed and written once; each fit then
+    scans its own columns of that table.
     """
+    used: dict[str, None] = {}
+    for spec in specs.values():
+        named = [*_names(spec["y"]), *spec["x"], *(c for k in ("absorb", "cluster", "by") for c in _names(spec.get(k)))]
+        used |= dict.fromkeys(named)
+    wheres = {name: spec["where"] for name, spec in specs.items() if spec.get("where") is not None}
+    inside = {name: f"_in_{i}" for i, name in enumerate(wheres)}
+    flags = [(F.expr(w) if isinstance(w, str) else w).alias(inside[name]) for name, w in wheres.items()]
+    table = materialize(df.select(*[F.col(f"`{c}`") for c in used], *flags), "specs") if len(specs) > 1 else None
     out = None
     for name, spec in specs.items():
         spec = dict(spec)
         where = spec.pop("where", None)
-        fit = ols(df if where is None else df.filter(where), **spec).withColumn("model", F.lit(name))
+        rows = df if table is None else table
+        if where is not None:
+            rows = rows.filter(where if table is None else F.col(inside[name]))
+        fit = ols(rows, **spec).withColumn("model", F.lit(name))
         out = fit if out is None else out.unionByName(fit)
     return out
 
