@@ -136,14 +136,15 @@ def judge(
         "pattern",
         F.timestamp_micros("from").alias("since"),
     )
-    # Intervals repeated by bucket outgrow the size Spark estimates, so they are never sent whole.
+    # Both joins' smaller sides compress well, so Spark takes them for small: they grow with
+    # the lists and captures, and are sorted rather than sent whole.
     found = (
         keyed.join(active.hint("merge"), ["kind", "pattern", "bucket"])
         .filter(holds)
         .groupBy("_url", "_at")
         .agg(F.count("*").alias("n_active"), F.max(claim).alias("winner"))
     )
-    out = seen.join(materialize(found, "found"), ["_url", "_at"], "left")
+    out = seen.join(materialize(found, "found").hint("merge"), ["_url", "_at"], "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_url").alias(url_col),
