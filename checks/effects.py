@@ -6,7 +6,7 @@ from checks.roles import SQL_ROWS, query, r6, regression_rows, table
 from plotmark.models import fill, linear, moments, screening
 from plotmark.models.additive import additive_ols
 from plotmark.models.bias import oster_delta
-from plotmark.plans.effects import additive_effect, group_premium, premium_relation
+from plotmark.plans.effects import additive_effect, group_premium, interaction_models, premium_relation
 from plotmark.sources.contracts import lookup
 
 
@@ -109,6 +109,38 @@ def grouped_ols(spark, sf):
     return fit.select("s_nationkey", "term", *[r6(c).alias(c) for c in ("coef", "se", "lo", "hi")], "n")
 
 
+# The eight traits of the interaction models, in SQL.
+TRAITS = {
+    "ageAtSale": "l_quantity", "age14plus": "CASE WHEN l_quantity >= 14 THEN 1 ELSE 0 END", "age5under": "CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END",
+    "z_lba": "(l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER ()",
+    "z_llota": "(ln(l_quantity) - avg(ln(l_quantity)) OVER ()) / stddev_samp(ln(l_quantity)) OVER ()",
+    "z_tax_rate": "(l_tax - avg(l_tax) OVER ()) / stddev_samp(l_tax) OVER ()",
+    "subdiv_size": "l_linenumber * 12", "subdiv_50plus": "CASE WHEN l_linenumber * 12 >= 50 THEN 1 ELSE 0 END",
+}
+
+
+def sql_interaction(name: str, trait: str) -> str:
+    rows = f"""d AS (SELECT l_suppkey, s_nationkey, y, x1, x1 * t AS x2 FROM (SELECT l_suppkey, s_nationkey, ln(l_extendedprice + 1) AS y,
+      CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS x1, ({trait})::DOUBLE AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey))"""
+    return f"SELECT * FROM (WITH {rows}, {sql_clustered('l_suppkey', 's_nationkey', f"'{name}' AS model, ")})"
+
+
+@query(f"""SELECT model, CASE term WHEN 'x1' THEN 'x1' ELSE 'x1_x_' || model END AS term, coef, se, n FROM (
+ {' UNION ALL '.join(sql_interaction(*t) for t in TRAITS.items())})""")
+def all_interaction_models(spark, sf):
+    """The eight interactions with an absorbed effect and clustered errors."""
+    lines = table(spark, sf, "lineitem").join(
+        table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey"
+    )
+    df = lines.withColumns(
+        {
+            "y": F.log1p("l_extendedprice"), "x1": (F.col("l_returnflag") == "R").cast("int"), "ageAtSale": F.col("l_quantity"),
+            "lba": F.col("l_discount"), "llota": F.log("l_quantity"), "tax_rate": F.col("l_tax"), "subdiv_size": F.col("l_linenumber") * 12,
+        }
+    )
+    return coefficients(interaction_models(df, "y", "x1", [], ["l_suppkey"], "s_nationkey"), "model")
+
+
 # Dummies for twelve levels within each line status, with the status absorbed, equal absorbed pairs of status and level.
 PAIR = "l_linestatus, CAST(l_quantity AS BIGINT) % 13"
 WIDE = [f"{status}{k}" for status in "FO" for k in range(1, 13)]
