@@ -84,7 +84,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     ends = states.groupBy(*key, "bucket").agg(F.max_by("on", "at").alias("last"))
     before = ends.select(*key, "bucket", F.lag("last", 1, False).over(by_bucket).alias("before"))
     changes = (
-        states.join(before, [*key, "bucket"])
+        states.join(before.hint("merge"), [*key, "bucket"])
         .withColumn("was", F.coalesce(F.lag("on").over(in_bucket), F.col("before")))
         .filter(F.col("on") != F.col("was"))
     )
@@ -92,7 +92,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     firsts = changes.groupBy(*key, "bucket").agg(F.min("at").alias("first"))
     after = firsts.select(*key, "bucket", F.lead("first").over(by_bucket).alias("after"))
     until = F.coalesce(F.lead("at").over(in_bucket), F.col("after"))
-    spans = changes.join(after, [*key, "bucket"]).withColumn("to", until).filter("on")
+    spans = changes.join(after.hint("merge"), [*key, "bucket"]).withColumn("to", until).filter("on")
     return spans.select(*key, F.col("at").alias("from"), "to")
 
 
