@@ -204,8 +204,7 @@ def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb:
 
 def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: list[str], cluster: list[str]) -> DataFrame:
     """As above for many columns: a second scan sums residual scores instead of products."""
-    work, b, a, c, v = prepare(df, columns, by, absorb, cluster)
-    work = materialize(work, "model")
+    work, b, a, c, v = prepare(df, columns, by, absorb, cluster, write=True)
     stats = materialize(wide_moments(work, b, a, v), "moments")
     p = len(v) - 1
     xs = v[:p]

@@ -49,10 +49,12 @@ def prepare(
     by: Sequence[str],
     absorb: Sequence[str],
     cluster: Sequence[str],
+    write: bool = False,
 ) -> tuple[DataFrame, list[str], list[str], list[str], list[str]]:
     """Complete rows under fixed names: keys ``_b*``, ``_a*``, ``_c*`` and values ``v*``.
 
-    Without ``by`` all rows form group 0.
+    Without ``by`` all rows form group 0. With ``write`` the columns are written before
+    incomplete rows are left out, so that each is computed once.
     """
     keyed = {"_b": list(by), "_a": list(absorb), "_c": list(cluster)}
     keys = {tag: [f"{tag}{i}" for i in range(len(names))] for tag, names in keyed.items()}
@@ -60,8 +62,16 @@ def prepare(
     if not by:
         keys["_b"], picked = ["_b0"], [F.lit(0).alias("_b0"), *picked]
     v = [f"v{i}" for i in range(len(columns))]
-    values = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(n) for c, n in zip(columns, v)]
-    return df.select(*picked, *values).dropna(), keys["_b"], keys["_a"], keys["_c"], v
+    # Only floating columns can hold NaN; a needless test per dummy makes code too long to compile.
+    whole = {f.name for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.BooleanType, T.DecimalType))}
+    values = [
+        (F.col(c).cast("double") if c in whole else F.nullif(F.col(c).cast("double"), F.lit(float("nan")))).alias(n)
+        for c, n in zip(columns, v)
+    ]
+    rows = df.select(*picked, *values)
+    if write:
+        rows = materialize(rows, "model")
+    return rows.dropna(), keys["_b"], keys["_a"], keys["_c"], v
 
 
 def cell_sums(work: DataFrame, keys: Sequence[str], v: Sequence[str]) -> DataFrame:
@@ -84,9 +94,9 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absor
     ``cross`` is the upper triangle of products around the means of the absorbed
     groups, or around the overall means when nothing is absorbed.
     """
-    work, b, a, _, v = prepare(df, columns, by, absorb, ())
+    work, b, a, _, v = prepare(df, columns, by, absorb, (), write=len(columns) > NARROW)
     if len(v) > NARROW:
-        return wide_moments(materialize(work, "model"), b, a, v)
+        return wide_moments(work, b, a, v)
     names = [f"{i}_{j}" for i, j in triangle(len(v))]
     cells = cell_sums(work, [*b, *a], v)
     summed = cells.groupBy(*b).agg(
