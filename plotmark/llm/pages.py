@@ -7,7 +7,8 @@ scripts, styles, hidden parts and reader comments (by element, role, class or id
 nothing and are left out of the region's text, so they neither end the region nor enter it.
 
 Weights are log odds of lying in the content, learned from labelled pages: pages whose author
-marked the content with an ``article`` or, without one, a ``main`` element. At most
+marked the content with an ``article`` or ``main`` element that is shown, and neither a comment
+nor a teaser (see ``_landmark``). At most
 ``labelled`` different ones are used, those with the least hashes of their html. Words of such a page score by block
 and by whether the landmark encloses them; on pages without a landmark, by block alone.
 
@@ -62,26 +63,30 @@ LANDMARKS = ("article", "main")
 # Elements whose class says nothing about being left out.
 _NEVER_BY_NAME = frozenset(("html", "body", "main"))
 _COMMENT_NAMES = frozenset(("comment", "comments", "commentlist", "respond", "replies"))
+_TEASER_NAMES = frozenset("teaser teasers related recommended recommendations promo promoted sponsored".split())
 CLIP, TAG_LEAST, TAG_DEFAULT, WORD_DEFAULT, LINK_DEFAULT = 4.0, -0.05, -0.25, 1.0, -1.0
 
 
-def _is_dropped(name: str, attrs: str, landmark: bool) -> bool:
-    """Whether an element is left out; headers of the content itself stay."""
-    if name in DROPPED and not (name == "header" and landmark):
+def _dropped_names(name: str, attrs: str) -> set[str]:
+    """The parts of class and id that name a left-out element."""
+    if not attrs or name in _NEVER_BY_NAME:
+        return set()
+    parts = set()
+    for key, *values in _ATTRIBUTE.findall(attrs):
+        if key.lower() in ("class", "id"):
+            parts.update(p.lower() for p in _NAME_PART.findall("".join(values)))
+    return parts & (_COMMENT_NAMES | _TEASER_NAMES if name == "article" else DROPPED_NAMES)
+
+
+def _is_hidden(name: str, attrs: str) -> bool:
+    """Whether an element is left out by its own name, role or attributes."""
+    if name in DROPPED and name != "header":
         return True
     if not attrs or name in _NEVER_BY_NAME:
         return False
     for key, *values in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), "".join(values)
-        if key in ("class", "id"):
-            parts = {p.lower() for p in _NAME_PART.findall(value)}
-            if name == "article":
-                parts &= _COMMENT_NAMES
-            elif landmark:
-                parts -= {"header"}
-            if parts & DROPPED_NAMES:
-                return True
-        elif key == "role" and value.lower() in DROPPED_ROLES:
+        if key == "role" and value.lower() in DROPPED_ROLES:
             return True
         elif key == "aria-hidden" and value.lower() == "true":
             return True
@@ -90,26 +95,19 @@ def _is_dropped(name: str, attrs: str, landmark: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs, re.I))
 
 
-def read_page(page: str) -> tuple[list[tuple], str | None]:
-    """The page's items, and its landmark if it has one.
-
-    An item is (feature, size, text, inside). For a tag: "<name", 1 if it separates blocks,
-    None. For text: "block" or, in a link, "block/a", its number of words, the decoded text.
-    The feature is None where the text is left out; ``inside`` tells whether a landmark
-    encloses the item.
-    """
-    low = page.lower()
-    landmark = next((m for m in LANDMARKS if f"<{m}" in low), None)
+def _parse(page: str) -> tuple[list[tuple], list[tuple]]:
+    """(elements, items). An element is (parent, name, hidden, dropped names), parents first; an
+    item is (element, feature, size, text)."""
+    elements: list[tuple] = [(-1, "body", False, set())]
     items: list[tuple] = []
-    # Open elements: name, left out, inside the landmark, block, in a link.
-    stack = [("body", False, False, "body", False)]
+    # Open elements: name, element, block, in a link.
+    stack = [("body", 0, "body", False)]
 
     def text(raw: str) -> None:
         if raw:
-            _, out, inside, block, link = stack[-1]
+            _, element, block, link = stack[-1]
             decoded = html.unescape(raw)
-            feature = None if out else f"{block}/a" if link else block
-            items.append((feature, len(decoded.split()), decoded, inside))
+            items.append((element, f"{block}/a" if link else block, len(decoded.split()), decoded))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -120,14 +118,13 @@ def read_page(page: str) -> tuple[list[tuple], str | None]:
             continue
         name = name.lower()
         if m["close"]:
+            element = stack[-1][1]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
-                    _, out, inside, *_ = stack[k]
+                    element = stack[k][1]
                     del stack[k:]
                     break
-            else:
-                _, out, inside, *_ = stack[-1]
-            items.append((None if out else f"<{name}", int(name in BLOCK), None, inside))
+            items.append((element, f"<{name}", int(name in BLOCK), None))
             continue
         if name in BLOCK:
             # A paragraph ends at the next block, with all that is open in it.
@@ -144,15 +141,83 @@ def read_page(page: str) -> tuple[list[tuple], str | None]:
                         break
                     if stack[k][0] in ("ul", "ol", "menu"):
                         break
-        _, out, inside, block, link = stack[-1]
-        out = out or _is_dropped(name, m["attrs"], inside)
-        inside = inside or (name == landmark and not out)
-        items.append((None if out else f"<{name}", int(name in BLOCK), None, inside))
+        _, element, block, link = stack[-1]
+        elements.append((element, name, _is_hidden(name, m["attrs"]), _dropped_names(name, m["attrs"])))
+        element = len(elements) - 1
+        items.append((element, f"<{name}", int(name in BLOCK), None))
         if name not in VOID and not m["attrs"].endswith("/"):
             own = name if name in BLOCK else block
-            stack.append((name, out, inside, own, name == "a" or link and name not in BLOCK))
+            stack.append((name, element, own, name == "a" or link and name not in BLOCK))
     text(page[at:])
-    return items, landmark
+    return elements, items
+
+
+def _words_within(elements: list[tuple], items: list[tuple], out: list[bool]) -> list[int]:
+    """Each element's words outside left-out elements."""
+    words = [0] * len(elements)
+    for element, _, size, text in items:
+        if text is not None and not out[element]:
+            words[element] += size
+    for k in range(len(elements) - 1, 0, -1):
+        words[elements[k][0]] += words[k]
+    return words
+
+
+def _landmark(elements: list[tuple], items: list[tuple]) -> tuple[str | None, set[int]]:
+    """The page's landmark and its elements.
+
+    It is the article with most words, or all articles if none has half of their words; ``main``
+    if no article has half of its words. Hidden articles, comments and teasers are none.
+    """
+    hidden, dropped, comment = [], [], []
+    for parent, _, is_hidden, names in elements:
+        up = parent >= 0
+        hidden.append(is_hidden or up and hidden[parent])
+        dropped.append(bool(is_hidden or names) or up and dropped[parent])
+        comment.append(bool(names & _COMMENT_NAMES) or up and comment[parent])
+    kept = _words_within(elements, items, dropped)
+    size: dict[int, int] = {}
+    for k, (_, name, _, names) in enumerate(elements):
+        if name not in LANDMARKS or hidden[k] or comment[k] or names:
+            continue
+        if not dropped[k]:
+            size[k] = kept[k]
+    size = {k: n for k, n in size.items() if n}
+    mains = [k for k in size if elements[k][1] == "main"]
+    articles = [k for k in size if elements[k][1] == "article"]
+    landmark, chosen = None, set()
+    if articles:
+        best = max(articles, key=lambda k: (size[k], -k))
+        landmark, chosen = "article", {best}
+        if 2 * size[best] < sum(size[k] for k in articles):
+            chosen = set(articles)
+        if any(2 * size[best] < size[k] for k in mains):
+            landmark, chosen = "main", set(mains)
+    elif mains:
+        landmark, chosen = "main", set(mains)
+    return landmark, chosen
+
+
+def read_page(page: str) -> tuple[list[tuple], str | None]:
+    """The page's items, and its landmark if it has one.
+
+    An item is (feature, size, text, inside). For a tag: "<name", 1 if it separates blocks,
+    None. For text: "block" or, in a link, "block/a", its number of words, the decoded text.
+    The feature is None where the text is left out; ``inside`` tells whether a landmark
+    encloses the item.
+    """
+    elements, items = _parse(page)
+    landmark, chosen = _landmark(elements, items)
+    out, inside = [], []
+    for k, (parent, name, is_hidden, names) in enumerate(elements):
+        up = parent >= 0
+        within = up and inside[parent]
+        # Headers of the content itself stay.
+        names = names - {"header"} if within else names
+        side = is_hidden or name == "header" and not within or names
+        out.append(bool(side) or up and out[parent])
+        inside.append(within or k in chosen)
+    return [(None if out[e] else feature, size, text, inside[e]) for e, feature, size, text in items], landmark
 
 
 def default_weight(feature: str) -> float:
@@ -175,8 +240,13 @@ def learn_weights(df: DataFrame, html_col: str, labelled: int) -> dict[str, floa
     low = F.lower("text")
     marked = df.select(F.col(html_col).alias("text")).filter(low.contains("<article") | low.contains("<main"))
     hashed = marked.withColumn("hash", F.xxhash64("text"))
+
+    @F.arrow_udf("boolean")
+    def has_landmark(column: pa.Array) -> pa.Array:
+        return pa.array([read_page(page or "")[1] is not None for page in column.to_pylist()], pa.bool_())
+
     # Only hashes are ordered in one task; pages are then picked by the last of them.
-    least = hashed.select("hash").distinct().orderBy("hash").limit(labelled)
+    least = hashed.filter(has_landmark("text")).select("hash").distinct().orderBy("hash").limit(labelled)
     last = least.agg(F.max("hash").alias("last")).first()["last"]
     sample = hashed.filter(F.col("hash") <= (F.lit(0) if last is None else F.lit(last))).dropDuplicates(["hash"])
 
@@ -186,7 +256,7 @@ def learn_weights(df: DataFrame, html_col: str, labelled: int) -> dict[str, floa
             for page in rows:
                 items, landmark = read_page(page)
                 for feature, size, _, inside in items:
-                    if feature is not None:
+                    if feature is not None and landmark is not None:
                         for key in (feature, _key(feature, landmark, inside)):
                             seen[key][not inside] += size
         # Only tags that separate blocks are counted, so names stay few.

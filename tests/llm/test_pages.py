@@ -89,3 +89,34 @@ def test_odd_rows(spark):
     assert got.columns == df.columns
     assert sorted((str(r.page_id), r.text) for r in got.collect()) == [("1", ""), ("2", ""), ("2", ""), ("None", "x y")]
     assert pages.main_text(df.limit(0)).count() == 0
+
+
+BODY = "<p>" + "plain body words here " * 10 + "</p>"
+COMMENT = "<article class=comment><p>" + "a reader says much about this " * 4 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,landmark",
+    [
+        (f"<main>{BODY}</main><div>{COMMENT * 5}</div>", "main"),
+        (f"<div class=post>{BODY}</div><div>{COMMENT * 5}</div>", None),
+        (f"<div class=post>{BODY}</div><aside><article><p>some teaser</p></article></aside>", None),
+        (f"<div class=post>{BODY}</div><script>x = '<article>'</script><!-- <main> -->", None),
+        (f"<main>{BODY}</main><script>x = '<article>'</script>", "main"),
+        (f"<main>{BODY}<article class=teaser><p>see that</p></article></main>", "main"),
+        (f"<article>{BODY}</article><article class=comment><p>yes</p></article>", "article"),
+    ],
+)
+def test_landmark_is_a_shown_element(page, landmark):
+    items, found = pages.read_page(page)
+    assert found == landmark
+    assert all(inside == (landmark is not None) for f, n, t, inside in items if t and "plain body" in t)
+    assert pages.extract(page, {"p|out": -4.0, "p|in": 4.0, "p": 1.0}) == ("plain body words here " * 10).strip()
+
+
+def test_pages_without_a_landmark_do_not_teach(spark):
+    template = f"<html><body><div class=post>{BODY}</div>{COMMENT * 3}<script>'<article>'</script></body></html>"
+    df = spark.createDataFrame([(k, template.replace("plain", f"plain{k}")) for k in range(30)], "page_id long, html string")
+    assert pages.learn_weights(df, "html", 20) == {}
+    want = ("plain body words here " * 10).strip()
+    assert {r.text for r in pages.main_text(df).collect()} == {want.replace("plain", f"plain{k}") for k in range(30)}
