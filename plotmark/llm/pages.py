@@ -6,6 +6,9 @@ highest sum: the content region. Menus, headers, footers, sidebars, notices, adv
 scripts, styles, hidden parts and reader comments (by element, role, class or id) score
 nothing and are left out of the region's text, so they neither end the region nor enter it.
 
+An element whose class or id names such a part is kept if it encloses the landmark or, on a page
+without one, most of the words and over three times those that would be left.
+
 Weights are log odds of lying in the content, learned from labelled pages: pages whose author
 marked the content with an ``article`` or ``main`` element that is shown, and neither a comment
 nor a teaser (see ``_landmark``). At most
@@ -41,6 +44,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE_NAME = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,17 +68,22 @@ LANDMARKS = ("article", "main")
 _NEVER_BY_NAME = frozenset(("html", "body", "main"))
 _COMMENT_NAMES = frozenset(("comment", "comments", "commentlist", "respond", "replies"))
 _TEASER_NAMES = frozenset("teaser teasers related recommended recommendations promo promoted sponsored".split())
+# A class that starts with one of these tells of the page, not of the element.
+_MODIFIERS = frozenset(("has", "no", "with", "without"))
 CLIP, TAG_LEAST, TAG_DEFAULT, WORD_DEFAULT, LINK_DEFAULT = 4.0, -0.05, -0.25, 1.0, -1.0
 
 
 def _dropped_names(name: str, attrs: str) -> set[str]:
-    """The parts of class and id that name a left-out element."""
+    """The parts of class and id that name a left-out element; has-, no- and with- only modify."""
     if not attrs or name in _NEVER_BY_NAME:
         return set()
     parts = set()
     for key, *values in _ATTRIBUTE.findall(attrs):
         if key.lower() in ("class", "id"):
-            parts.update(p.lower() for p in _NAME_PART.findall("".join(values)))
+            for token in "".join(values).split():
+                own = [p.lower() for p in _NAME_PART.findall(token)]
+                if own and own[0] not in _MODIFIERS:
+                    parts.update(own)
     return parts & (_COMMENT_NAMES | _TEASER_NAMES if name == "article" else DROPPED_NAMES)
 
 
@@ -92,7 +101,7 @@ def _is_hidden(name: str, attrs: str) -> bool:
             return True
         elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs, re.I))
+    return "hidden" in attrs.lower() and any(m[1].lower() == "hidden" for m in _ATTRIBUTE_NAME.finditer(attrs))
 
 
 def _parse(page: str) -> tuple[list[tuple], list[tuple]]:
@@ -163,11 +172,12 @@ def _words_within(elements: list[tuple], items: list[tuple], out: list[bool]) ->
     return words
 
 
-def _landmark(elements: list[tuple], items: list[tuple]) -> tuple[str | None, set[int]]:
-    """The page's landmark and its elements.
+def _landmark(elements: list[tuple], items: list[tuple]) -> tuple[str | None, set[int], set[int]]:
+    """The page's landmark, its elements, and the elements not to be dropped by name.
 
     It is the article with most words, or all articles if none has half of their words; ``main``
-    if no article has half of its words. Hidden articles, comments and teasers are none.
+    if no article has half of its words. Hidden articles, comments and teasers are none. One in an
+    element named for dropping counts if it is ``main`` or has over half of the page's words.
     """
     hidden, dropped, comment = [], [], []
     for parent, _, is_hidden, names in elements:
@@ -175,13 +185,15 @@ def _landmark(elements: list[tuple], items: list[tuple]) -> tuple[str | None, se
         hidden.append(is_hidden or up and hidden[parent])
         dropped.append(bool(is_hidden or names) or up and dropped[parent])
         comment.append(bool(names & _COMMENT_NAMES) or up and comment[parent])
-    kept = _words_within(elements, items, dropped)
+    kept, shown = (_words_within(elements, items, out) for out in (dropped, hidden))
     size: dict[int, int] = {}
     for k, (_, name, _, names) in enumerate(elements):
         if name not in LANDMARKS or hidden[k] or comment[k] or names:
             continue
         if not dropped[k]:
             size[k] = kept[k]
+        elif name == "main" or 2 * shown[k] > shown[0]:
+            size[k] = shown[k]
     size = {k: n for k, n in size.items() if n}
     mains = [k for k in size if elements[k][1] == "main"]
     articles = [k for k in size if elements[k][1] == "article"]
@@ -195,7 +207,16 @@ def _landmark(elements: list[tuple], items: list[tuple]) -> tuple[str | None, se
             landmark, chosen = "main", set(mains)
     elif mains:
         landmark, chosen = "main", set(mains)
-    return landmark, chosen
+    whole = set()
+    for k in chosen:
+        while k > 0:
+            whole.add(k)
+            k = elements[k][0]
+    if landmark is None:
+        # Without a landmark, what has most of the words, and by far more than would be left, is no side matter.
+        most = max(shown[0] // 2, 3 * kept[0])
+        whole = {k for k, e in enumerate(elements) if e[3] and not e[3] & _COMMENT_NAMES and shown[k] > most}
+    return landmark, chosen, whole
 
 
 def read_page(page: str) -> tuple[list[tuple], str | None]:
@@ -207,14 +228,14 @@ def read_page(page: str) -> tuple[list[tuple], str | None]:
     encloses the item.
     """
     elements, items = _parse(page)
-    landmark, chosen = _landmark(elements, items)
+    landmark, chosen, whole = _landmark(elements, items)
     out, inside = [], []
     for k, (parent, name, is_hidden, names) in enumerate(elements):
         up = parent >= 0
         within = up and inside[parent]
         # Headers of the content itself stay.
         names = names - {"header"} if within else names
-        side = is_hidden or name == "header" and not within or names
+        side = is_hidden or name == "header" and not within or names and k not in whole
         out.append(bool(side) or up and out[parent])
         inside.append(within or k in chosen)
     return [(None if out[e] else feature, size, text, inside[e]) for e, feature, size, text in items], landmark

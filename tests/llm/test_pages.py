@@ -120,3 +120,27 @@ def test_pages_without_a_landmark_do_not_teach(spark):
     assert pages.learn_weights(df, "html", 20) == {}
     want = ("plain body words here " * 10).strip()
     assert {r.text for r in pages.main_text(df).collect()} == {want.replace("plain", f"plain{k}") for k in range(30)}
+
+
+@pytest.mark.parametrize(
+    "names",
+    ["layout has-sidebar", "no-sidebar", "with-banner", "elementor-widget", "nav-open", "page-header-fixed", "hasSidebar"],
+)
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_names_never_drop_what_encloses_the_content(names, tag):
+    page = f"<div class='{names}'><div class=sidebar><p>see also</p></div><{tag}>{BODY}</{tag}></div><p>end</p>"
+    text = pages.extract(page, {})
+    assert ("plain body words here " * 10).strip() in text
+    # A side part in a wrapper stays left out.
+    assert "see also" not in text
+
+
+@pytest.mark.parametrize(
+    "attrs,kept",
+    [
+        ("title='the hidden valley'", True), ('alt="hidden"', True), ("title=hidden", True), ("title = hidden", True),
+        ("hidden", False), ("id=x hidden", False), ('hidden=""', False), ("HIDDEN class='a b'", False),
+    ],
+)
+def test_hidden_is_an_attribute(attrs, kept):
+    assert pages.extract(f"<p>one</p><p {attrs}>two</p>", {}) == ("one\ntwo" if kept else "one")
