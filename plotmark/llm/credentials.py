@@ -2,7 +2,7 @@
 
 Patterns find assigned passwords and tokens, access keys and long hexadecimal runs. Their
 values, labelled by kind, train one probabilistic automaton a kind; other long strings of the
-corpus train one of ordinary strings. Then every candidate of every text, a run of
+corpus, without those that look like a format (see ``Scorer``), train one of ordinary strings. Then every candidate of every text, a run of
 credential characters, is scored: where its likelihood under the best credential format
 exceeds that under the ordinary one by ``margin`` (in natural logarithms), it is a secret of
 kind ``format``. Candidates that touch a pattern's span are left to the pattern.
@@ -99,12 +99,38 @@ def labelled_samples(df: DataFrame, text_col: str = "text", samples: int = 400)
     }
 
 
+def _digit_share(text: str) -> float:
+    return sum(c in "0123456789" for c in text) / len(text)
+
+
 class Scorer:
-    """Log likelihood of the best credential format over that of ordinary strings."""
+    """Log likelihood of the best credential format over that of ordinary strings.
+
+    The ordinary sample comes from the same texts, so it may hold the very credentials to be
+    found. Those that score above zero and have as many digits as the values of their format
+    are dropped and the ordinary automaton is fitted anew, until none is left.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.formats = [Automaton(samples[k]) for k in LABELS[:3] if samples.get(k)]
-        self.ordinary = Automaton(samples.get("ordinary", []))
+        labelled = [samples[k] for k in LABELS[:3] if samples.get(k)]
+        self.formats = [Automaton(values) for values in labelled]
+        # Of each format, the digit shares that all but a hundredth of its values have at either end.
+        shares = [sorted(map(_digit_share, values)) for values in labelled]
+        self.digits = [(x[len(x) // 100], x[-1 - len(x) // 100]) for x in shares]
+        kept = list(samples.get("ordinary", []))
+        while True:
+            self.ordinary = Automaton(kept)
+            plain = [c for c in kept if not self._like_a_format(c)]
+            # Without ordinary strings nothing could be told apart.
+            if not plain or len(plain) == len(kept):
+                break
+            kept = plain
+
+    def _like_a_format(self, text: str) -> bool:
+        base, share = self.ordinary.log_probability(text), _digit_share(text)
+        return any(
+            low <= share <= high and f.log_probability(text) > base for f, (low, high) in zip(self.formats, self.digits)
+        )
 
     def score(self, text: str) -> float:
         best = max((f.log_probability(text) for f in self.formats), default=float("-inf"))

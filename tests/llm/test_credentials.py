@@ -73,6 +73,23 @@ def test_formats_add_what_no_pattern_has(planted):
     assert all([s.kind for s in rows[k]] == ["assign", "hex"] for k in range(300))
 
 
+@pytest.mark.parametrize("length", [16, 20, 23])
+def test_common_bare_keys_are_still_found(length):
+    """A third of the candidates outside patterns are bare keys, as of a source that leaks often."""
+    rng = random.Random(length)
+    ordinary = [f"{w}{rng.choice(('', 'ly', '-like', '.com'))}" for w in ORDINARY] + [f"4429{k:012d}" for k in range(127)]
+    ordinary = list(dict.fromkeys(ordinary))[:267]
+    samples = {
+        "assign": [random_hex(rng, rng.choice((16, 20, 22, 32, 40))) for _ in range(400)],
+        "hex": [random_hex(rng, 40) for _ in range(400)],
+        "ordinary": ordinary + [random_hex(rng, length) for _ in range(133)],
+    }
+    scorer = credentials.Scorer(samples)
+    held_out = [random_hex(rng, length) for _ in range(200)]
+    assert sum(scorer.score(x) > credentials.MARGIN for x in held_out) >= 190
+    assert not any(scorer.score(x) > credentials.MARGIN for x in ordinary)
+
+
 def test_redaction_keeps_other_columns(spark):
     df = spark.createDataFrame(
         [(1, "a password=abcdef123 b", "s"), (None, None, "t"), (2, "", "u"), (3, f"token = {'ab' * 20}!", "v")],
