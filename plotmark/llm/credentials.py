@@ -5,7 +5,8 @@ values, labelled by kind, train one probabilistic automaton a kind; other long s
 corpus, without those that look like a format (see ``Scorer``), train one of ordinary strings. Then every candidate of every text, a run of
 credential characters, is scored: where its likelihood under the best credential format
 exceeds that under the ordinary one by ``margin`` (in natural logarithms), it is a secret of
-kind ``format``. Candidates that touch a pattern's span are left to the pattern.
+kind ``format``, beside any span of a pattern that it touches. Candidates that lie in a
+pattern's span are left to the pattern.
 
 Training uses at most ``samples`` distinct strings a kind, those with the least hashes over
 all documents, each of ``LONGEST`` characters at most; scoring knows no limit. Spans count
@@ -53,14 +54,18 @@ def pattern_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, string) of candidates that touch no span of a pattern."""
+def candidates(
+    text: str, spans: list[tuple[int, int, int, str]], touching: bool = True
+) -> Iterator[tuple[int, int, str]]:
+    """(start, end, string) of candidates that lie in no span of a pattern; of those that
+    touch none if not ``touching``."""
     at, reached = 0, -1
     for m in _CANDIDATE.finditer(text):
-        while at < len(spans) and spans[at][0] < m.end():
+        while at < len(spans) and spans[at][0] <= m.start():
             reached = max(reached, spans[at][2])
             at += 1
-        if reached <= m.start():
+        touched = reached > m.start() or at < len(spans) and spans[at][0] < m.end()
+        if not touched or touching and reached < m.end():
             yield m.start(), m.end(), m[0]
 
 
@@ -80,7 +85,7 @@ def labelled_samples(df: DataFrame, text_col: str = "text", samples: int = 400)
             for text in rows:
                 spans = pattern_spans(text)
                 found = [(KINDS[kind], value) for _, kind, _, value in spans]
-                found += [("ordinary", c) for _, _, c in candidates(text, spans)]
+                found += [("ordinary", c) for _, _, c in candidates(text, spans, touching=False)]
                 for kind, value in found:
                     if len(value) <= LONGEST:
                         # Signed hashes must order as the unsigned ones do.

@@ -90,6 +90,24 @@ def test_common_bare_keys_are_still_found(length):
     assert not any(scorer.score(x) > credentials.MARGIN for x in ordinary)
 
 
+def test_candidates_that_reach_beyond_a_pattern():
+    text = "x sk_live_0123456789abcdef01234567Zq9Xy and token=0123456789abcdef01234567 but ordinary-long-words"
+    found = [c for *_, c in credentials.candidates(text, credentials.pattern_spans(text))]
+    assert found == ["sk_live_0123456789abcdef01234567Zq9Xy", "ordinary-long-words"]
+    alone = [c for *_, c in credentials.candidates(text, credentials.pattern_spans(text), touching=False)]
+    assert alone == ["ordinary-long-words"]
+
+
+def test_a_secret_is_redacted_beyond_its_pattern(spark):
+    rng = random.Random(9)
+    rows = [(k, f"note {k} token = {random_hex(rng, 40)} and {rng.choice(ORDINARY)} end") for k in range(300)]
+    rows += [(1000 + k, f"the key sk_live_{random_hex(rng, 24)}Zq9 stands") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in credentials.redact(df).collect()}
+    assert [got[1000 + k] for k in range(6)] == ["the key [secret] stands"] * 6
+    assert all(" end" in got[k] and "ationally" in got[k] or "10." in got[k] for k in range(300))
+
+
 def test_redaction_keeps_other_columns(spark):
     df = spark.createDataFrame(
         [(1, "a password=abcdef123 b", "s"), (None, None, "t"), (2, "", "u"), (3, f"token = {'ab' * 20}!", "v")],
