@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Objects of this Python worker (models, memos), the latest last. Workers are reused, so an
 # object is made once per worker; only the latest few stay, or memory would grow by the stage.
@@ -64,3 +65,28 @@ def texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
     """Each batch with its texts; a null text is empty."""
     for batch in batches:
         yield batch, [t or "" for t in batch.column(text).to_pylist()]
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> Broadcast:
+    """A bit per leading ``bits`` of the column ``hash``, as at most 2 ** (bits - 6) words on the driver."""
+    spots = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("spot"))
+    words = (
+        spots.select(F.expr("spot div 64").alias("word"), F.expr("shiftleft(1L, int(spot % 64))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_filter(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit in a ``bit_filter`` (its bytes as ``table``)."""
+    spot = hashes >> np.uint64(64 - bits)
+    return (table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def passing(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of the hashes that have their bit in a ``bit_filter``."""
+    return np.flatnonzero(in_filter(hashes, table, bits))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plotmark.llm.common import Memo, held, texts
+from plotmark.llm.common import Memo, bit_filter, held, passing, texts
 from plotmark.session import materialize
 
 WINDOW = 13
@@ -95,25 +95,6 @@ def _shingles(windows: DataFrame) -> DataFrame:
     return windows.mapInArrow(cut, "window string, size int, width int, at int, hash long")
 
 
-def _filter(hashes: DataFrame, bits: int) -> Broadcast:
-    """A bit per leading ``bits`` of the hashes, as at most 2 ** (bits - 6) words on the driver."""
-    spots = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("spot"))
-    words = (
-        spots.select(F.expr("spot div 64").alias("word"), F.expr("shiftleft(1L, int(spot % 64))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
-def _passing(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    spot = hashes >> np.uint64(64 - bits)
-    return np.flatnonzero(table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1)
-
-
 def _counts(docs: DataFrame, known: Broadcast, bits: int, widths: list[int]) -> DataFrame:
     """(hash, n): documents of each shingle that passes the filter."""
 
@@ -125,7 +106,7 @@ def _counts(docs: DataFrame, known: Broadcast, bits: int, widths: list[int]) ->
                 hashes = _word_hashes(words_of(text))
                 for width in widths:
                     shingles = shingle_hashes(hashes, width)
-                    found.append(np.unique(shingles[_passing(shingles, table, bits)]))
+                    found.append(np.unique(shingles[passing(shingles, table, bits)]))
             each, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), found)
             if len(each):
                 yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n)], ["hash", "n"])
@@ -151,7 +132,7 @@ def _candidates(docs: DataFrame, known: Broadcast, bits: int, widths: list[int],
                 here = []
                 for width in widths:
                     shingles = shingle_hashes(hashes, width)
-                    for pos in _passing(shingles, table, bits).tolist():
+                    for pos in passing(shingles, table, bits).tolist():
                         first = max(0, pos - window + width)
                         around = b" ".join(words[first : pos + window]).decode()
                         here.append({"hash": int(shingles[pos].view(np.int64)), "pos": pos, "first": first, "around": around})
@@ -199,13 +180,13 @@ def benchmark_hits(
     shingles = materialize(_shingles(of_items.select("window", "size").distinct()), "shingles")
     widths = [r.width for r in shingles.select("width").distinct().orderBy("width").collect()]  # at most SHINGLE rows
 
-    counts = _counts(docs, _filter(shingles, filter_bits), filter_bits, widths)
+    counts = _counts(docs, bit_filter(shingles, filter_bits), filter_bits, widths)
     rarest = F.min_by(F.struct("width", "at", "hash"), F.struct(F.coalesce("n", F.lit(0)), F.col("at")))
     prefixes = materialize(
         shingles.join(counts, "hash", "left").groupBy("window", "size").agg(rarest.alias("p")).select("window", "size", "p.*"),
         "prefixes",
     )
-    scanned = materialize(_candidates(docs, _filter(prefixes, filter_bits), filter_bits, widths, window), "candidates")
+    scanned = materialize(_candidates(docs, bit_filter(prefixes, filter_bits), filter_bits, widths, window), "candidates")
 
     places = scanned.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*").distinct()
     start = F.col("pos") - F.col("at")

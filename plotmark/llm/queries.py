@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotmark.llm import credentials, decontaminate, pages, pieces, quality, sharding, simhash, tokens, urlfilter, urllists
+from plotmark.llm import (
+    credentials,
+    decontaminate,
+    mixing,
+    pages,
+    phrases,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    spellings,
+    tokens,
+    urlfilter,
+    urllists,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +138,24 @@ def op4_url_lists(spark: SparkSession, sf: str) -> DataFrame:
     pages_of = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     judged = urlfilter.judge(urllists.captures(pages_of), urllists.entries(pages_of))
     return judged.withColumns({"fetched": F.to_date("fetched"), "since": F.to_date("since")})
+
+
+@query()
+def op11_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document, over all shards."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    drawn = mixing.mix(docs, keep=["doc_id"])
+    taken = (F.col("size") * F.size("draws")).alias("taken")
+    return drawn.select("row.doc_id", "size", "source_size", "target", taken, "draws")
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word with its near words, its form and its root."""
+    return spellings.variants(documents(spark, sf))
+
+
+@query(phrases.oracle_sql())
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The first phrases of every language by score."""
+    return phrases.collocations(spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text"))
