@@ -66,6 +66,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a written intermediate table that nothing reads any more."""
+    spark = table.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    for name in folders:
+        if f"/plotmark-{RUN}/" in name:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bytes_of(table: DataFrame) -> int:
     """Bytes of the files behind a written table, from their listing."""
     spark = table.sparkSession
