@@ -5,7 +5,8 @@ Each line of a text is tested alone; a line without words passes. It fails if
 * symbols ``#*$%&|<>`` or exclamation marks are at least a third as many as its words
   (menus with separators, decorated or shouted text);
 * it has few words and no punctuation at its end (navigation, buttons, headings);
-* it is short and holds a boilerplate phrase (notices, licences, prompts).
+* it is short and holds a notice's phrase in whole words (rights, licences, cookies), or is a prompt
+  such as ``Read more`` with at most three more words; sentences that hold such words stay.
 
 Failing lines are removed, and a document that loses over two thirds of its characters by this
 is rejected. So is one that fails a base rule: under ``MIN_WORDS`` words, or over ``MAX_REPEAT``
@@ -27,9 +28,11 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 WORD = r"[^ \t\n\x0B\f\r]+"
 SYMBOL = r"[#*$%&|<>]"
 ENDED = r"""[.!?:;,…。"'”»)\]][ \t\x0B\f\r]*$"""
+# Whole phrases that notices have anywhere, and prompts that are a line by themselves or nearly so.
 NOTICE = (
-    r"(?i)(all rights reserved|cookie|privacy policy|terms of (use|service)|licensed under|under the [a-z0-9 ]+ license"
-    r"|subscribe (now|to)|sign up|log in|click here|read more|share (on|this)|enable javascript|©)"
+    r"(?i)(^|[^a-z0-9])(all rights reserved|(cookies?|privacy) (policy|settings|notice|preferences)|(we|site) uses? cookies"
+    r"|accept (all )?cookies|terms of (use|service)|licensed under|under the [a-z0-9 ]+ license|enable javascript)([^a-z0-9]|$)"
+    r"|^[^a-z0-9]*(subscribe|sign up|log in|click here|read more|share (on|this))([^a-z0-9]+[a-z0-9]+){0,3}[^a-z0-9]*$|©"
 )
 
 

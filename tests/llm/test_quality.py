@@ -75,6 +75,27 @@ def test_lines(spark):
     assert got == lines
 
 
+def test_sentences_with_words_of_notices_stay(spark):
+    clean = [
+        "The library keeps a catalog in every room of the building.",
+        "He found a cookie recipe that his mother wrote in 1950.",
+        "The team chose to design upgrades for the bridge.",
+        "They share this view of the matter with most of their friends.",
+        "People sign up for the course in spring and log in from home.",
+        "She wanted to read more books about the old kings.",
+        "Many subscribe to the theory that the river moved.",
+        "The blog in question uses cookiecutter templates.",
+    ]
+    notices = ["Log in", "» Sign up now", "Read more...", "Click here for the list.", "Share on social media", "Subscribe to our newsletter!",
+               "Please enable JavaScript to view this page.", "© 2019 A. Author", "See our privacy policy.", "This site uses cookies."]
+    df = spark.createDataFrame([(x,) for x in clean + notices], "x string")
+    got = {r.x for r in df.filter(quality.line_passes(df["x"])).collect()}
+    assert got == set(clean)
+    texts = [(k, " ".join(three)) for k, three in enumerate(zip(clean, clean[1:], clean[2:]))]
+    kept = quality.keep_clean(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == texts
+
+
 def test_removal(spark):
     good = f"{SENTENCE}\nAnother line follows, which says other things and then ends."
     rows = [
