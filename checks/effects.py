@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.roles import SQL_ROWS, query, r6, regression_rows, table
-from plotmark.models import fill, linear, moments, screening
+from plotmark.models import factors, fill, linear, moments, screening
 from plotmark.models.additive import additive_ols
 from plotmark.models.bias import oster_delta
 from plotmark.plans.effects import additive_effect, group_premium, interaction_models, premium_relation
@@ -78,8 +78,9 @@ def absorb_ols(spark, sf):
     return coefficients(linear.ols(regression_rows(spark, sf), "y", ["x1", "x2"], "l_suppkey"))
 
 
-def sql_clustered(partition: str, cluster: str, label: str = "") -> str:
-    return f"""{within(partition)}, m AS (SELECT {SUMS}, count(DISTINCT ({partition})) AS g FROM w), f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m),
+def sql_clustered(partition: str, cluster: str, label: str = "", rows: str | None = None, more: int = 0) -> str:
+    """``rows`` may demean further, which takes up ``more`` parameters."""
+    return f"""{rows or within(partition)}, m AS (SELECT {SUMS}, count(DISTINCT ({partition})) + {more} AS g FROM w), f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m),
  r AS (SELECT w.*, yd - b1 * u - b2 * v AS e FROM w, f), sc AS (SELECT sum(u * e) AS s1, sum(v * e) AS s2 FROM r GROUP BY {cluster}),
  k AS (SELECT sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22, count(*) AS cl FROM sc),
  o AS (SELECT *, cl / (cl - 1.0) * (n - 1.0) / (n - 2 - g) / ((a * c - b * b) * (a * c - b * b)) AS h FROM f, k)
@@ -92,6 +93,25 @@ def cluster_se(spark, sf):
     return coefficients(linear.ols(regression_rows(spark, sf), "y", ["x1", "x2"], "l_suppkey", "s_nationkey"))
 
 
+# Double demeaning: around suppliers, then less what the line status explains of the rest.
+CROSSED = f"""{within('l_suppkey').replace('w AS', 'own AS', 1).replace('SELECT *,', "SELECT *, CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.0 END - avg(CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY l_suppkey) AS z,", 1)},
+ by_z AS (SELECT sum(yd * z) / sum(z * z) AS ky, sum(u * z) / sum(z * z) AS ku, sum(v * z) / sum(z * z) AS kv FROM own),
+ w AS (SELECT own.* REPLACE (yd - ky * z AS yd, u - ku * z AS u, v - kv * z AS v) FROM own, by_z)"""
+
+
+@query(f"WITH {SQL_ROWS}, {sql_clustered('l_suppkey', 's_nationkey', rows=CROSSED, more=1)}")
+def crossed_factor_cluster_se(spark, sf):
+    """A factor that crosses the absorbed effect, from counts and level sums, with clustered errors."""
+    return coefficients(factors.factor_ols(regression_rows(spark, sf), "y", ["x1", "x2"], ["l_linestatus"], "l_suppkey", "s_nationkey"))
+
+
+@query(f"WITH {SQL_ROWS}, {sql_clustered('l_suppkey, l_linestatus', 's_nationkey')}")
+def factor_of_many_levels(spark, sf):
+    """A factor of every supplier and status beside the absorbed status: thousands of levels, no column for any."""
+    df = regression_rows(spark, sf).withColumn("place", F.concat_ws("-", "l_linestatus", "l_suppkey"))
+    return coefficients(factors.factor_ols(df, "y", ["x1", "x2"], ["place"], "l_linestatus", "s_nationkey"))
+
+
 @query(f"WITH {SQL_ROWS}, {sql_clustered('l_suppkey, l_linestatus', 'l_returnflag, s_nationkey')}")
 def two_way_effect_crossed_clusters(spark, sf):
     """Absorbed pairs of keys, with clusters that cut across them."""
@@ -201,20 +221,35 @@ def model_variants(spark, sf):
     return coefficients(linear.fit_specs(regression_rows(spark, sf), specs), "model")
 
 
-@query(f"""WITH {SQL_ROWS}, s AS (SELECT regr_slope(y, l_quantity) AS b1, regr_slope(l_extendedprice, l_quantity) AS b2, regr_count(y, l_quantity) AS n,
-  regr_syy(y, l_quantity) AS s1, regr_syy(l_extendedprice, l_quantity) AS s2, regr_sxx(y, l_quantity) AS sx,
-  regr_sxy(y, l_quantity) AS p1, regr_sxy(l_extendedprice, l_quantity) AS p2 FROM d)
- SELECT 'l_quantity' AS term, printf('%.3f (%.3f)', b1, sqrt((s1 - b1 * p1) / (n - 2) / sx)) AS log_price,
-  printf('%.1f (%.1f)', b2, sqrt((s2 - b2 * p2) / (n - 2) / sx)) AS price FROM s""")
+# Two-sided thresholds of t for many degrees of freedom.
+SQL_STARS = "CASE WHEN abs({t}) > 2.5766 THEN '***' WHEN abs({t}) > 1.9603 THEN '**' WHEN abs({t}) > 1.6451 THEN '*' ELSE '' END"
+SQL_T = "(b{k} / sqrt((s{k} - b{k} * p{k}) / (n - 2) / sx{x}))"
+
+
+def sql_cell(k: int, x: int, digits: int) -> str:
+    t, se = SQL_T.format(k=k, x=x), f"sqrt((s{k} - b{k} * p{k}) / (n - 2) / sx{x})"
+    return f"printf('%.{digits}f%s (%.{digits}f)', b{k}, {SQL_STARS.format(t=t)}, {se})"
+
+
+def sql_line(k: int, y: str, x: str) -> str:
+    return f"regr_slope({y}, {x}) AS b{k}, regr_syy({y}, {x}) AS s{k}, regr_sxy({y}, {x}) AS p{k}"
+
+
+@query(f"""WITH {SQL_ROWS}, s AS (SELECT {sql_line(1, 'y', 'l_quantity')}, {sql_line(2, 'l_extendedprice', 'l_quantity')},
+  {sql_line(3, 'y', 'l_discount')}, {sql_line(4, 'l_extendedprice', 'l_discount')}, count(*) AS n,
+  regr_sxx(y, l_quantity) AS sx1, regr_sxx(y, l_discount) AS sx2 FROM d)
+ SELECT 'l_quantity' AS term, {sql_cell(1, 1, 3)} AS log_price, {sql_cell(2, 1, 1)} AS price FROM s
+ UNION ALL SELECT 'l_discount', {sql_cell(3, 2, 3)}, {sql_cell(4, 2, 1)} FROM s""")
 def coefficient_table(spark, sf):
-    """Terms by model; the stars of significant terms are cut off, as SQL has no t distribution."""
+    """Terms by model with the stars of significant terms; each term is fitted alone."""
     df = regression_rows(spark, sf)
     out = None
     for y, digits, name in (("y", 3, "log_price"), ("l_extendedprice", 1, "price")):
-        fits = linear.fit_specs(df, {name: {"y": y, "x": ["l_quantity"]}})
-        shown = linear.coef_table(fits, [name], digits).withColumn(name, F.replace(F.col(name), F.lit("*"), F.lit("")))
+        specs = {x: {"y": y, "x": [x]} for x in ("l_quantity", "l_discount")}
+        fits = linear.fit_specs(df, specs).filter("term <> '(intercept)'").withColumn("model", F.lit(name))
+        shown = linear.coef_table(fits, [name], digits)
         out = shown if out is None else out.join(shown, "term")
-    return out.filter("term <> '(intercept)'")
+    return out
 
 
 @query(f"""WITH {SQL_ROWS}, x AS (SELECT y, x1 + l_quantity / 50 AS x, l_quantity / 10 + x2 AS w FROM d),

@@ -125,3 +125,20 @@ def saved_table_with_missing(spark, sf):
     sinks.write_table(table(spark, sf, "part").select("p_type", price.alias("price"), "p_size"), path)
     df = layout.read_table(spark, path, ["p_type", "price"])
     return df.groupBy("p_type").agg(F.count("*").alias("n"), F.count("price").alias("known"), r6(F.avg("price"), 4).alias("mean"))
+
+
+@query("""SELECT 'orders' AS run, o_orderstatus AS "group", round(avg(o_totalprice), 4) AS coef, count(*) AS n FROM orders GROUP BY 2
+ UNION ALL SELECT 'lines', l_linestatus, round(avg(l_extendedprice), 4), count(*) FROM lineitem GROUP BY 2""")
+def repeated_runs(spark, sf):
+    """Results appended by two runs, of which one is repeated and replaces its own rows, and one failed before it published."""
+    path = scratch_path(spark, "runs")
+
+    def rows(name, key, value):
+        return table(spark, sf, name).groupBy(F.col(key).alias("group")).agg(r6(F.avg(value), 4).alias("coef"), F.count("*").alias("n"))
+
+    orders, lines = rows("orders", "o_orderstatus", "o_totalprice"), rows("lineitem", "l_linestatus", "l_extendedprice")
+    sinks.publish_run(orders.withColumn("coef", F.lit(0.0)), path, "orders", stamp=True)
+    sinks.publish_run(lines, path, "lines", stamp=True)
+    lines.write.parquet(f"{path}/attempt-{'0' * 32}")
+    sinks.publish_run(orders, path, "orders", stamp=True)
+    return sinks.read_runs(spark, path).filter("written_at is not null").select("run", "group", "coef", "n")

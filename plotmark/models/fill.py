@@ -4,55 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from plotmark.models.linear import _names, ols
-from plotmark.operators.skew import attach_groups
-
-MAX_LEVELS = 1000
-
-
-def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels (as text) of several factors from one job."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("level")) for f in factors])
-    found = df.select(F.inline(pairs)).dropna().distinct().limit(MAX_LEVELS * len(factors) + 1).collect()
-    levels = {f: sorted(r.level for r in found if r.f == f) for f in factors}
-    crowded = [f for f in factors if len(levels[f]) > MAX_LEVELS]
-    if crowded or len(found) > MAX_LEVELS * len(factors):
-        raise ValueError(f"more than {MAX_LEVELS} levels in {crowded or factors}")
-    return levels
+from pyspark.sql import DataFrame, functions as F
 
+from plotmark.models.factors import factor_index
+from plotmark.models.linear import ols
 
 def feature_index(
     df: DataFrame, y: str, factors: Sequence[str], by: Sequence[str] | str | None = None, name: str = "index"
 ) -> DataFrame:
-    """Fitted values of ``y`` on factors, each against its first level.
-
-    A level that the fit could not use counts as the first level; a missing factor
-    gives a null index. The effects reach the rows as one map per fitted group.
-    """
-    by = _names(by)
-    levels = factor_levels(df, factors)
-    place = {
-        f: F.array_position(F.array(*[F.lit(v) for v in levels[f]]), F.col(f).cast("string")) for f in factors
-    }
-    dummies = {f"{f}_{i}": F.when(place[f] == i, 1).otherwise(0) for f in factors for i in range(2, len(levels[f]) + 1)}
-    complete = df.dropna(subset=[y, *factors, *by])
-    fit = ols(complete.select(*by, y, *[c.alias(n) for n, c in dummies.items()]), y, list(dummies), by=by or None)
-    known = fit.filter("coef is not null")
-    effects = F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("_effects")
-    if by:
-        maps = known.groupBy(*by).agg(F.max("n").alias("_size"), effects)
-        rows = attach_groups(df, maps, by, "_size")
-    else:
-        rows = df.withColumn("_effects", known.agg(effects).scalar())
-
-    def effect(f: str) -> Column:
-        term = F.concat(F.lit(f"{f}_"), F.nullif(place[f], F.lit(0)).cast("string"))
-        return F.when(term.isNotNull(), F.coalesce(F.try_element_at("_effects", term), F.lit(0.0)))
-
-    fitted = sum((effect(f) for f in factors), F.try_element_at("_effects", F.lit("(intercept)")))
-    return rows.withColumn(name, fitted).drop("_effects")
+    """Fitted values of ``y`` on factors of any number of levels (R12); see ``factor_index``."""
+    return factor_index(df, y, factors, by, name)
 
 
 def predictor_screen(

@@ -231,30 +231,144 @@ def _clustered_wide(df: DataFrame, columns: list[str], by: list[str], absorb: li
     return stats.join(counts, b).join(meat, b)
 
 
+def _part(stats: DataFrame, keys: list[str], places: list[int], width: int) -> DataFrame:
+    """Moments of some of the columns of ``stats``, in the order of ``places``."""
+    at = {pair: k for k, pair in enumerate(triangle(width))}
+    cross = [at[min(i, j), max(i, j)] for n, i in enumerate(places) for j in places[n:]]
+    return stats.select(
+        *keys, "n", "groups",
+        F.array(*[F.col("means")[i] for i in places]).alias("means"),
+        F.array(*[F.col("cross")[k] for k in cross]).alias("cross"),
+    )
+
+
+def _fit_superset(df: DataFrame, y: str, models: Mapping[str, list[str]], absorb: list[str], cluster: list[str], by: list[str]) -> DataFrame:
+    """Fits of several sets of columns on the same rows under one effect, each labelled ``model``.
+
+    One table of moments holds the columns of all; a model is a part of it. Clustered errors
+    come from one more scan, in which each row gives its residual in every model.
+    """
+    union = list(dict.fromkeys(c for x in models.values() for c in x))
+    work, b, a, c, v = prepare(df, [*union, y], by, absorb, cluster, write=True)
+    place, k = {name: i for i, name in enumerate(union)}, len(v)
+    stats = materialize(wide_moments(work, b, a, v), "moments")
+    places = {m: [*(place[x] for x in xs), k - 1] for m, xs in models.items()}
+    parts = {m: _part(stats, b, at, k) for m, at in places.items()}
+    if cluster:
+        parts = _superset_meat(work, stats, parts, places, b, a, c, v, not by)
+    out = None
+    for m, xs in models.items():
+        part = parts[m]
+        if not cluster:
+            part = part.withColumns({"clusters": F.lit(None).cast("long"), "meat": F.lit(None).cast("array<double>")})
+        fit = _coefficients(part, b, by, xs, not absorb).withColumn("model", F.lit(m))
+        out = fit if out is None else out.unionByName(fit)
+    return out
+
+
+def _superset_meat(
+    work: DataFrame, stats: DataFrame, parts: dict[str, DataFrame], places: dict[str, list[int]],
+    b: list[str], a: list[str], c: list[str], v: list[str], single: bool,
+) -> dict[str, DataFrame]:
+    """The parts with ``clusters`` and ``meat`` of each, from one scan of the rows."""
+    beta = stats.select(*b, "n")
+    for i, (m, at) in enumerate(places.items()):
+        beta = beta.join(_solution(parts[m], b, len(at) - 1).withColumnRenamed("beta", f"b{i}"), b)
+    moved = _give_back(shifted(work, centre_of(work, v)), materialize(beta, "solutions"), b, "n", single)
+    own = {i: [v[k] for k in at[:-1]] for i, at in enumerate(places.values())}
+    resid = {f"e{i}": F.expr(" - ".join([v[-1], *[f"{x} * b{i}[{j}]" for j, x in enumerate(xs)]])) for i, xs in own.items()}
+    sums = [F.count("*").alias("n"), *[F.expr(f"sum({x}) AS x_{x}") for x in v[:-1]]]
+    for i, xs in own.items():
+        sums += [F.expr(f"sum(e{i}) AS e{i}"), *[F.expr(f"sum({x} * e{i}) AS t{i}_{x}") for x in xs]]
+    cells = materialize(moved.withColumns(resid).groupBy(*b, *a, *c).agg(*sums), "cells")
+    groups = cells.groupBy(*b, *a).agg(
+        F.count("*").alias("_size"),
+        *[F.expr(f"sum(e{i}) / sum(n) AS g_e{i}") for i in own],
+        *[F.expr(f"sum(x_{x}) / sum(n) AS g_{x}") for x in v[:-1]],
+    )
+    near = _give_back(cells, groups, [*b, *a], "_size", single and not a)
+    scores = [
+        F.expr(f"sum(t{i}_{x} - g_e{i} * x_{x} - g_{x} * e{i} + n * g_{x} * g_e{i}) AS s{i}_{x}") for i, xs in own.items() for x in xs
+    ]
+    clusters = materialize(near.groupBy(*b, *c).agg(*scores), "scores")
+    counts = clusters.groupBy(*b).agg(F.count("*").alias("clusters"))
+    out = {}
+    for i, m in enumerate(places):
+        products = batch_products(clusters, b, [f"s{i}_{x}" for x in own[i]])
+        out[m] = parts[m].join(counts, b).join(pack_products(products, b).withColumnRenamed("cross", "meat"), b)
+    return out
+
+
+def _known(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether all columns have a value; NaN is none."""
+    kinds, known = dict(df.dtypes), F.lit(True)
+    for c in columns:
+        known = known & F.col(f"`{c}`").isNotNull()
+        if kinds[c] in ("double", "float"):
+            known = known & ~F.isnan(f"`{c}`")
+    return known
+
+
+def _same_rows(rows: DataFrame, sets: list[list[list[str]]]) -> list[bool]:
+    """For each list of column sets, whether they are complete in the same rows; one scan for all."""
+    counts = []
+    for i, of in enumerate(sets):
+        union = list(dict.fromkeys(c for columns in of for c in columns))
+        counts += [F.count_if(_known(rows, columns)).alias(f"c{i}_{j}") for j, columns in enumerate([union, *of])]
+    found = rows.agg(*counts).first().asDict()
+    return [len({found[f"c{i}_{j}"] for j in range(len(of) + 1)}) == 1 for i, of in enumerate(sets)]
+
+
 def fit_specs(df: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     """Variants of one model stacked under a ``model`` label.
 
-    A spec holds the arguments of ``ols`` and, optionally, ``where`` for its subset. The
-    columns and subsets that the specs need are computed and written once; each fit then
-    scans its own columns of that table.
+    A spec holds the arguments of ``ols`` and, optionally, ``factors`` (see ``models.factors``)
+    and ``where`` for its subset. The columns and subsets that the specs need are computed and
+    written once. Specs with the same response, effect, clusters, groups and subset, whose
+    columns are complete in the same rows, are fitted together from one table of moments;
+    others scan their own columns of the written table.
     """
+    from plotmark.models.factors import factor_ols
+
     used: dict[str, None] = {}
     for spec in specs.values():
-        named = [*_names(spec["y"]), *spec["x"], *(c for k in ("absorb", "cluster", "by") for c in _names(spec.get(k)))]
+        named = [*_names(spec["y"]), *spec["x"], *(c for k in ("absorb", "cluster", "by", "factors") for c in _names(spec.get(k)))]
         used |= dict.fromkeys(named)
     wheres = {name: spec["where"] for name, spec in specs.items() if spec.get("where") is not None}
     inside = {name: f"_in_{i}" for i, name in enumerate(wheres)}
     flags = [(F.expr(w) if isinstance(w, str) else w).alias(inside[name]) for name, w in wheres.items()]
     table = materialize(df.select(*[F.col(f"`{c}`") for c in used], *flags), "specs") if len(specs) > 1 else None
-    out = None
+    alike: dict[tuple, list[str]] = {}
+    for name, spec in specs.items():
+        if not spec.get("factors"):
+            where = spec.get("where")
+            keys = tuple(tuple(_names(spec.get(k))) for k in ("y", "absorb", "cluster", "by"))
+            alike.setdefault((*keys, where if where is None or isinstance(where, str) else id(where)), []).append(name)
+    shared = [names for names in alike.values() if len(names) > 1]
+    complete = lambda spec: [*spec["x"], *(c for k in ("y", "absorb", "cluster", "by") for c in _names(spec.get(k)))]
+    same = _same_rows(table, [[complete(specs[n]) for n in names] for names in shared]) if shared else []
+    fits, together = [], set()
+    for names, ok in zip(shared, same):
+        if ok:
+            first, rows = specs[names[0]], table
+            if names[0] in inside:
+                rows = rows.filter(F.col(inside[names[0]]))
+            models = {n: list(specs[n]["x"]) for n in names}
+            effects = [_names(first.get(k)) for k in ("absorb", "cluster", "by")]
+            fits.append(_fit_superset(rows, first["y"], models, *effects))
+            together |= set(names)
     for name, spec in specs.items():
+        if name in together:
+            continue
         spec = dict(spec)
         where = spec.pop("where", None)
         rows = df if table is None else table
         if where is not None:
             rows = rows.filter(where if table is None else F.col(inside[name]))
-        fit = ols(rows, **spec).withColumn("model", F.lit(name))
-        out = fit if out is None else out.unionByName(fit)
+        fits.append((factor_ols if spec.get("factors") else ols)(rows, **spec).withColumn("model", F.lit(name)))
+    out = fits[0]
+    for fit in fits[1:]:
+        out = out.unionByName(fit)
     return out
 
 

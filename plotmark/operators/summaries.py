@@ -212,11 +212,13 @@ def standardise(df: DataFrame, columns: Sequence[str], prefix: str = "z_") -> Da
     )
 
 
-def levels_of(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Sorted distinct values of a factor; more than ``limit`` is an error, not a cut."""
-    found = df.select(column).dropna().distinct().orderBy(column).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; absorb it instead")
+def levels_of(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Sorted distinct values of a factor. Each becomes a column in ``one_hot``; fits of factors with
+    very many levels need no columns, see ``models.factors``. With ``limit``, more are an error."""
+    found = df.select(column).dropna().distinct().orderBy(column)
+    found = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} levels")
     return [r[0] for r in found]
 
 

@@ -68,14 +68,14 @@ def interaction_models(df: DataFrame, y: str, treat: str, controls: Sequence[str
     return fit_specs(df, {t: {**spec, "x": [treat, f"{treat}_x_{t}", *controls]} for t in traits})
 
 
-def national_models(df: DataFrame, y: str, controls: Sequence[str], tract: str, month: str, cluster: str, month_dummies: Sequence[str] = ()) -> DataFrame:
-    """Both treatments under a tract effect and a tract-by-month effect."""
+def national_models(df: DataFrame, y: str, controls: Sequence[str], tract: str, month: str, cluster: str) -> DataFrame:
+    """Both treatments under a tract effect with month dummies, and under a tract-by-month effect."""
     specs = {}
     for n, treat in enumerate(("HOA", "HOA_NEIGH")):
         where = None if treat == "HOA" else F.col(treat).isin(0, 1)
-        shared = {"y": y, "cluster": cluster, "where": where}
-        specs[f"main{2 * n + 1}"] = {**shared, "x": [treat, *controls, *month_dummies], "absorb": [tract]}
-        specs[f"main{2 * n + 2}"] = {**shared, "x": [treat, *controls], "absorb": [tract, month]}
+        shared = {"y": y, "x": [treat, *controls], "cluster": cluster, "where": where}
+        specs[f"main{2 * n + 1}"] = {**shared, "absorb": [tract], "factors": [month]}
+        specs[f"main{2 * n + 2}"] = {**shared, "absorb": [tract, month]}
     return fit_specs(df, specs)
 
 
