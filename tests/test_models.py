@@ -160,6 +160,55 @@ def test_imputation_without_predictors_takes_the_mean(spark):
     assert fill.impute_linear(df, ["y"], ["x"], mincor=1.1).filter("x = 2").first().y == 2.0
 
 
+def test_a_chain_of_imputations_equals_fits_row_by_row(spark, monkeypatch):
+    """Many patterns of missing values; every step uses the predictions before it. Rows are summed once."""
+    rng = np.random.default_rng(10)
+    n, names = 1200, ["a", "b", "c", "d", "e"]
+    base = rng.normal(size=(n, 2))
+    x = base @ rng.normal(size=(2, 5)) + 0.3 * rng.normal(size=(n, 5)) + np.array([1e5, 5, -3, 0, 2000])
+    x[rng.random((n, 5)) < 0.25] = np.nan
+    pdf = pd.DataFrame(x, columns=names)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).withColumn("id", F.monotonically_increasing_id()).repartition(5)
+    calls = []
+    whole = fill.batch_products
+    monkeypatch.setattr(fill, "batch_products", lambda *a: calls.append(1) or whole(*a))
+    got = fill.impute_linear(df, ["a", "b", "c"], names).orderBy("id").toPandas()
+    assert len(calls) == 1
+    chosen, _ = fill.predictor_screen(df, ["a", "b", "c"], names)
+    filled = pdf.fillna(pdf.mean())
+    for t, used in chosen.items():
+        have = pdf[t].notna().to_numpy()
+        full = np.column_stack([np.ones(n), filled[used]])
+        b = np.linalg.lstsq(full[have] - np.r_[0, full[have, 1:].mean(0)], pdf[t][have], rcond=None)[0]
+        guess = (full - np.r_[0, full[have, 1:].mean(0)]) @ b
+        filled[t] = np.where(have, pdf[t], guess)
+    order = df.orderBy("id").select(*names).toPandas().astype(float)
+    key = lambda f: f.reset_index(drop=True)
+    np.testing.assert_allclose(key(order).isna().sum(), pdf.isna().sum())
+    for t in ("a", "b", "c"):
+        np.testing.assert_allclose(np.sort(got[t]), np.sort(filled[t]), rtol=1e-8)
+    assert got[["d", "e"]].isna().sum().tolist() == pdf[["d", "e"]].isna().sum().tolist()
+
+
+def test_screen_equals_pairwise_correlations(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4))
+    x[rng.random((500, 4)) < 0.3] = np.nan
+    x[:, 0] = np.where(x[:, 1] > 0.5, np.nan, x[:, 0])
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for mincor in (0.1, 0.3, 0.5):
+        chosen, means = fill.predictor_screen(df, ["a", "c"], list("abcd"), mincor)
+        for t in ("a", "c"):
+            gone = pdf[t].isna()
+            want = [c for c in "abcd" if c != t and max(abs(pdf[t].corr(pdf[c])), abs(gone.astype(float).corr(pdf[c]))) >= mincor
+                    and pdf[c][gone].notna().mean() >= 0.1]
+            assert chosen[t] == want
+        np.testing.assert_allclose([means[c] for c in "abcd"], pdf.mean())
+
+
 def test_spline_basis_sums_to_one():
     b = additive.spline_basis(np.linspace(-2, 5, 101), -2, 5, 9)
     np.testing.assert_allclose(b.sum(1), 1)
