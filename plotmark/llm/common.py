@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -49,6 +50,12 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def release() -> None:
+    """Drop what earlier operators left in this worker."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def ship_file(spark: SparkSession, path: str, at_most: int = 64 << 20) -> tuple[str, Broadcast]:
     """A vocabulary file of the driver as a broadcast of checked size, with its digest.
 
@@ -61,6 +68,30 @@ def ship_file(spark: SparkSession, path: str, at_most: int = 64 << 20) -> tuple[
     return hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs run inside hand texts to Python workers in Arrow batches of about ``size`` bytes.
+
+    Batches are held by the JVM and by the worker at once, for each task; what is computed
+    from them adds to it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(size, _bytes(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _bytes(size: str) -> int:
+    """A setting such as 64m or 67108864b in bytes; what is not limited is large."""
+    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
+    digits = size.rstrip("bkmgBKMG")
+    number = int(digits) << units.get(size[len(digits) :].lower(), 0)
+    return number if number > 0 else 1 << 62
+
+
 def texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch with its texts; a null text is empty."""
     for batch in batches:

@@ -6,8 +6,8 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from test_decontaminate import slow_hits
+from test_jaccard import slow_kept
 from test_quality import slow as slow_quality
-from test_simhash import slow_components, slow_fingerprint
 
 import corpus_pipeline
 from plotmark.llm import credentials, quality
@@ -33,8 +33,8 @@ def brute_force(docs, items):
         if text is not None and not slow_quality(text)[5] and 3 * len(kept) >= len(text):
             cleaned.append((doc, kept))
     cleaned.sort()
-    label = slow_components([slow_fingerprint(t) for _, t in cleaned])
-    cleaned = [row for k, row in enumerate(cleaned) if label[k] == k]
+    first = set(slow_kept(cleaned))
+    cleaned = [row for row in cleaned if row[0] in first]
     hits = slow_hits(cleaned, items)
     cleaned = [row for row, (_, n, h, _) in zip(cleaned, hits) if not (h and 20 * h >= n)]
     samples = {k: {} for k in credentials.LABELS}
@@ -105,10 +105,10 @@ def test_stages_on_odd_rows(spark, sf, odd_documents):
         assert stage(spark, docs.limit(0), sf).count() == 0
         sizes.append(out.count())
         docs = out
-    assert sizes == [7, 4, 4, 4]
+    assert sizes == [7, 3, 3, 3]
     rows = {(r.doc_id, r.text[:5]): r for r in docs.collect()}
-    assert set(rows) == {(2, "word0"), (5, "other"), (None, "other"), (11, "x0 x1")}
+    assert set(rows) == {(2, "word0"), (5, "other"), (11, "x0 x1")}
     assert rows[11, "x0 x1"].text.endswith("[secret]")
     assert all(r.n_chars == len(r.text) for r in rows.values())
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert last.count() == 4 and last.columns == ["doc_id", "n_tokens", "ids", "text"]
+    assert last.count() == 3 and last.columns == ["doc_id", "n_tokens", "ids", "text"]
