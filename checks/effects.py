@@ -252,25 +252,57 @@ def coefficient_table(spark, sf):
     return out
 
 
-@query(f"""WITH {SQL_ROWS}, x AS (SELECT y, x1 + l_quantity / 50 AS x, l_quantity / 10 + x2 AS w FROM d),
- m AS (SELECT var_pop(x) AS vx, var_pop(w) AS vw, var_pop(y) AS vy, covar_pop(x, w) AS xw, covar_pop(x, y) AS xy, covar_pop(w, y) AS wy FROM x),
- c AS (SELECT *, xy / vx AS b0, xy * xy / vx / vy AS r0, vx - xw * xw / vw AS tx, (xy * vw - wy * xw) / (vx * vw - xw * xw) AS b1,
-   (wy * vx - xy * xw) / (vx * vw - xw * xw) AS bw FROM m), r AS (SELECT *, (b1 * xy + bw * wy) / vy AS r1 FROM c),
- o AS (SELECT *, b0 - b1 AS mv, (r1 - r0) * vy AS ex, 0.3 * r1 * vy AS un FROM r)
+OSTER_ROWS = "SELECT l_suppkey, y, x1 + l_quantity / 50 AS x, l_quantity / 10 + x2 AS w FROM d"
+
+
+def sql_oster(rows: str, total: str = "var_pop(y)") -> str:
+    """Short and long regression of y on x without and with w, from the moments of the rows.
+
+    ``total`` is the variance of y that shares of variance refer to."""
+    return f"""WITH {SQL_ROWS}, x AS ({rows}),
+ m AS (SELECT var_pop(x) AS vx, var_pop(w) AS vw, var_pop(y) AS vy, {total} AS ty, covar_pop(x, w) AS xw, covar_pop(x, y) AS xy, covar_pop(w, y) AS wy FROM x),
+ c AS (SELECT *, xy / vx AS b0, (ty - vy + xy * xy / vx) / ty AS r0, vx - xw * xw / vw AS tx, (xy * vw - wy * xw) / (vx * vw - xw * xw) AS b1,
+   (wy * vx - xy * xw) / (vx * vw - xw * xw) AS bw FROM m), r AS (SELECT *, (ty - vy + b1 * xy + bw * wy) / ty AS r1 FROM c),
+ o AS (SELECT *, b0 - b1 AS mv, (r1 - r0) * ty AS ex, 0.3 * r1 * ty AS un FROM r)
  SELECT round(b0, 6) AS beta_short, round(b1, 6) AS beta_long, round(r0, 8) AS r2_short, round(r1, 8) AS r2_long,
   round((b1 * ex * tx + b1 * vx * tx * mv * mv + 2 * b1 * b1 * tx * mv * vx + b1 ** 3 * (tx * vx - tx * tx)) /
-   (un * mv * vx + b1 * un * (vx - tx) + b1 * b1 * tx * mv * vx + b1 ** 3 * (tx * vx - tx * tx)), 4) AS delta FROM o""")
-def oster_bound(spark, sf):
-    df = regression_rows(spark, sf).select(
-        "y", (F.col("x1") + F.col("l_quantity") / 50).alias("x"), (F.col("l_quantity") / 10 + F.col("x2")).alias("w")
-    )
-    found = oster_delta(df, "y", "x", ["w"])
+   (un * mv * vx + b1 * un * (vx - tx) + b1 * b1 * tx * mv * vx + b1 ** 3 * (tx * vx - tx * tx)), 4) AS delta FROM o"""
+
+
+def oster_columns(found):
     return found.select(
         r6("beta_short").alias("beta_short"), r6("beta_long").alias("beta_long"), r6("r2_short", 8).alias("r2_short"),
         r6("r2_long", 8).alias("r2_long"), r6("delta", 4).alias("delta"),
     )
 
 
+def oster_rows(spark, sf):
+    x, w = F.col("x1") + F.col("l_quantity") / 50, F.col("l_quantity") / 10 + F.col("x2")
+    return regression_rows(spark, sf).select("l_suppkey", "y", x.alias("x"), w.alias("w"))
+
+
+@query(sql_oster(OSTER_ROWS))
+def oster_bound(spark, sf):
+    return oster_columns(oster_delta(oster_rows(spark, sf), "y", "x", ["w"]))
+
+
+@query(sql_oster(f"SELECT {', '.join(f'{c} - avg({c}) OVER (PARTITION BY l_suppkey) AS {c}' for c in 'yxw')} FROM ({OSTER_ROWS})"))
+def oster_bound_absorbed(spark, sf):
+    """The bound with an absorbed effect in both regressions."""
+    return oster_columns(oster_delta(oster_rows(spark, sf), "y", "x", ["w"], absorb="l_suppkey"))
+
+
+@query(sql_oster(f"""SELECT y - sum(y * z) OVER () / sum(z * z) OVER () * z AS y, x - sum(x * z) OVER () / sum(z * z) OVER () * z AS x,
+   w - sum(w * z) OVER () / sum(z * z) OVER () * z AS w, y AS raw FROM (SELECT y - avg(y) OVER () AS y, x - avg(x) OVER () AS x, w - avg(w) OVER () AS w,
+   l_discount - avg(l_discount) OVER () AS z FROM (SELECT l_discount, y, x1 + l_quantity / 50 AS x, l_quantity / 10 + x2 AS w FROM d))""", "var_pop(raw)"))
+def oster_bound_two_control_sets(spark, sf):
+    """The bound with a control that stands in both regressions; shares of variance are of the whole response."""
+    df = regression_rows(spark, sf).select(
+        "y", "l_discount", (F.col("x1") + F.col("l_quantity") / 50).alias("x"), (F.col("l_quantity") / 10 + F.col("x2")).alias("w")
+    )
+    return oster_columns(oster_delta(df, "y", "x", ["w"], ["l_discount"]))
+
+
 @query(f"""WITH {SQL_ROWS}, h AS (SELECT l_suppkey, l_linestatus, y, x1, x1 * l_quantity AS x2 FROM d),
  f AS (WITH d AS (SELECT * FROM h), {within('l_suppkey')}, m AS (SELECT {SUMS}, count(DISTINCT l_suppkey) AS g FROM w), f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m)
  SELECT 'x1' AS term, round(b1, 6) AS coef, round({plain_se('c')}, 6) AS se, n FROM f
