@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.roles import SQL_ROWS, query, r6, regression_rows, table
 from plotmark.models import factors, fill, linear, moments, screening
-from plotmark.models.additive import additive_ols
+from plotmark.models.additive import additive_curves, additive_ols
 from plotmark.models.bias import oster_delta
 from plotmark.plans.effects import additive_effect, group_premium, interaction_models, premium_relation
 from plotmark.sources.contracts import lookup
@@ -379,6 +379,52 @@ def additive_of_linear_data(spark, sf):
     return fit.filter("kind = 'linear'").select("s_nationkey", r6("coef", 4).alias("coef"), "n", r6("r2", 4).alias("r2"))
 
 
+# Columns less what earlier ones explain, by supplier's nation: u1 of the binned column, u2 of its square, u3 of its cube.
+def residual(new: str, value: str, past: list[str]) -> str:
+    over = "OVER (PARTITION BY s_nationkey)"
+    parts = [f"avg({value}) {over}", *[f"{u} * sum({value} * {u}) {over} / nullif(sum({u} * {u}) {over}, 0)" for u in past]]
+    return f"{value} - {' - '.join(parts)} AS {new}"
+
+
+BINS = 41
+SQL_CUBIC = f"""{SQL_ROWS}, e AS (SELECT *, min(l_quantity) OVER (PARTITION BY s_nationkey) AS lo, max(l_quantity) OVER (PARTITION BY s_nationkey) AS hi FROM d),
+ z AS (SELECT *, 2 * floor((l_quantity - lo) / (hi - lo)::DOUBLE * {BINS - 1} + 0.5) / {BINS - 1} - 1 AS z FROM e),
+ r1 AS (SELECT *, {residual('u1', 'z', [])} FROM z),
+ r2 AS (SELECT *, {residual('u2', 'z * z', ['u1'])} FROM r1),
+ r3 AS (SELECT *, {residual('u3', 'z * z * z', ['u1', 'u2'])} FROM r2),
+ t AS (SELECT *, {residual('tx', 'x1', ['u1', 'u2', 'u3'])}, {residual('ty', 'y', ['u1', 'u2', 'u3'])} FROM r3),
+ f AS (SELECT s_nationkey, sum(tx * ty) / sum(tx * tx) AS b, sum(tx * tx) AS a, sum(ty * ty) AS s, count(*) AS n FROM t GROUP BY 1)"""
+
+
+@query(f"""WITH {SQL_CUBIC} SELECT s_nationkey, round(b, 5) AS coef, round(sqrt((s - b * b * a) / (n - 5) / a), 5) AS se, n FROM f""")
+def additive_model_in_bins(spark, sf):
+    """Without penalty, a spline of one piece is a cubic, so that SQL can state the binned fit."""
+    fit = additive_ols(regression_rows(spark, sf), "y", ["x1"], ["l_quantity"], by="s_nationkey", size=4, bins=BINS, penalty=0)
+    return fit.filter("kind = 'linear'").select("s_nationkey", r6("coef", 5).alias("coef"), r6("se", 5).alias("se"), "n")
+
+
+@query(f"""WITH {SQL_CUBIC}, k AS (SELECT s_nationkey, (p - 1) / 5 AS k, hi, lo FROM (SELECT DISTINCT s_nationkey, lo, hi FROM e) CROSS JOIN (SELECT unnest(generate_series(1, 6)) AS p)),
+ h AS (SELECT r3.*, y - b * x1 AS v FROM r3 JOIN f USING (s_nationkey)),
+ c AS (SELECT s_nationkey, avg(z) AS m1, sum(z * z * u1) / sum(u1 * u1) AS a21, avg(z * z) AS m2, avg(z * z * z) AS m3,
+   sum(z * z * z * u1) / sum(u1 * u1) AS a31, sum(z * z * z * u2) / sum(u2 * u2) AS a32,
+   sum(v * u1) / sum(u1 * u1) AS g1, sum(v * u2) / sum(u2 * u2) AS g2, sum(v * u3) / sum(u3 * u3) AS g3 FROM h GROUP BY 1),
+ q AS (SELECT *, 2 * k - 1 AS w FROM k JOIN c USING (s_nationkey)),
+ q1 AS (SELECT *, w - m1 AS o1 FROM q), q2 AS (SELECT *, w * w - m2 - a21 * o1 AS o2 FROM q1), q3 AS (SELECT *, w * w * w - m3 - a31 * o1 - a32 * o2 AS o3 FROM q2)
+ SELECT s_nationkey, round(lo + k * (hi - lo), 4) AS x, round(g1 * o1 + g2 * o2 + g3 * o3, 4) AS fit FROM q3""")
+def additive_curve(spark, sf):
+    """The curve of the same fit at six points of each group's range."""
+    curves = additive_curves(regression_rows(spark, sf), "y", ["x1"], ["l_quantity"], by="s_nationkey", size=4, bins=BINS, penalty=0, points=6)
+    return curves.select("s_nationkey", r6("x", 4).alias("x"), r6("fit", 4).alias("fit"))
+
+
+@query()
+def additive_smooth_terms(spark, sf):
+    """Tests and degrees of freedom of the smooths; SQL has no counterpart, see the tests."""
+    df = regression_rows(spark, sf)
+    fit = additive_ols(df, "y", ["x1"], ["l_quantity", "x2"], [("l_discount", "l_tax")], bins=100)
+    return fit.filter("kind = 'smooth'").select("term", r6("edf", 2).alias("edf"), r6("p", 4).alias("p"), "n")
+
+
 @query(f"""WITH {SQL_ROWS}, {within('s_nationkey, l_suppkey')}, m AS (SELECT s_nationkey, {SUMS}, avg(x1) AS share, count(DISTINCT l_suppkey) AS g FROM w GROUP BY 1),
  f AS (SELECT *, {B1} AS b1, {B2} AS b2 FROM m)
  SELECT s_nationkey, n AS obs, round(share, 6) AS share, round(b1, 6) AS beta, round({plain_se('c')}, 6) AS se, r_name AS region

@@ -78,16 +78,25 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
-def t_pvalue(t: float, df: float) -> float:
-    """Two-sided p-value of a t statistic."""
-    if not (df > 0) or t != t:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    a, b, x = df / 2, 0.5, df / (df + t * t)
-    if x >= 1:
-        return 1.0
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def t_pvalue(t: float, df: float) -> float:
+    """Two-sided p-value of a t statistic."""
+    if not (df > 0) or t != t:
+        return float("nan")
+    return _beta_share(df / 2, 0.5, df / (df + t * t))
+
+
+def f_pvalue(f: float, df1: float, df2: float) -> float:
+    """Upper p-value of an F statistic."""
+    if not (df1 > 0 and df2 > 0) or f != f:
+        return float("nan")
+    return _beta_share(df2 / 2, df1 / 2, df2 / (df2 + df1 * max(f, 0.0)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotmark.functions.scalars import SALES_FROM_DAY, blockgroup_id, date_from_day, month_index
-from plotmark.models.additive import additive_ols
+from plotmark.models.additive import additive_curves, additive_ols
 from plotmark.models.fill import feature_index
 from plotmark.models.linear import fit_specs, ols
 from plotmark.models.moments import demean
@@ -114,14 +114,21 @@ def additive_effect(
     effect: str,
     by: str | None = None,
     where: Column | None = None,
+    bins: int | None = 100,
+    curves: bool = False,
 ) -> DataFrame:
-    """Additive fit of a factor index and demeaned traits, nationally or per group."""
+    """Additive fit of a factor index and demeaned traits, nationally or per group.
+
+    Columns of smooths are rounded to ``bins`` points of their range (None: not at all). With ``curves``,
+    the evaluated smooths come in place of the table of terms.
+    """
     df = df if where is None else df.filter(where)
     indexed = feature_index(df, y, factors, by, "index")
     keys = [by, effect] if by else [effect]
     within = demean(indexed, ["index", y, *continuous], keys)
     smooths = ["index_dm", *[f"{c}_dm" for c in continuous], *raw_smooths]
-    return additive_ols(within, f"{y}_dm", [treat], smooths, [place], by)
+    made = additive_curves if curves else additive_ols
+    return made(within, f"{y}_dm", [treat], smooths, [place], by, bins=bins)
 
 
 def results_rows(fits: DataFrame, regtype: str, group: str | None, term: str) -> DataFrame:
