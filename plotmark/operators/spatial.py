@@ -24,26 +24,59 @@ def _cells(df: DataFrame, level: Column, out: str = "_cell") -> DataFrame:
     return df.withColumn(out, F.explode(cells))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting with half-open edges: left and bottom edges are inside, right and top are not.
+def crosses(x: Column, y: Column, edge: Column) -> Column:
+    """Does the ray from a point to the right meet an edge, half open: its lower end counts, its upper does not.
 
-    Neighbouring polygons therefore never share a point.
+    A point is inside if it meets an odd number of edges; left and bottom edges are inside, right
+    and top are not, so that neighbouring polygons never share a point.
     """
+    at = edge["ax"] + (y - edge["ay"]) * (edge["bx"] - edge["ax"]) / (edge["by"] - edge["ay"])
+    return ((edge["ay"] <= y) != (edge["by"] <= y)) & (x < at)
 
-    def crosses(i: Column) -> Column:
-        a = F.element_at(ring, i)
-        b = F.element_at(ring, F.when(i == F.size(ring), 1).otherwise(i + 1))
-        straddles = (a["y"] <= y) != (b["y"] <= y)
-        at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
-        return straddles & (x < at)
 
-    edges = F.sequence(F.lit(1), F.size(ring))
-    return F.aggregate(edges, F.lit(False), lambda acc, i: acc != F.coalesce(crosses(i), F.lit(False)))
+def _sized_edges(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
+    """Polygons with box, edges and class: ``_level`` is the size class of the whole shape, ``_fine`` how
+    often its cell is halved to give a strip. Even numbers keep the classes few.
+    """
+    nested = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
+    rings = F.col(ring) if nested else F.array(ring)
+
+    def edges(r: Column, of: Column) -> Column:
+        def edge(p: Column, i: Column) -> Column:
+            q = F.get(r, (i + 1) % F.size(r))
+            ends = {"ax": p["x"], "ay": p["y"], "bx": q["x"], "by": q["y"]}
+            return F.struct(of.alias("ring"), i.alias("at"), *[v.cast("double").alias(n) for n, v in ends.items()])
+
+        # Level edges and edges without an end meet no ray.
+        return F.filter(F.transform(r, edge), lambda e: (e["ay"] != e["by"]) & e["ax"].isNotNull() & e["bx"].isNotNull())
 
+    boxes = polygons.select(poly_id, rings.alias("_rings")).withColumns(ring_bbox(F.flatten("_rings")))
+    listed = boxes.withColumn("_edges", F.flatten(F.transform("_rings", edges)))
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    height = F.aggregate("_edges", F.lit(0.0), lambda total, e: total + F.abs(e["by"] - e["ay"])) / F.size("_edges")
+    halved = F.col("_level") - F.floor(F.log2(height)).cast("int")
+    return (
+        listed.filter(F.size("_edges") > 0)
+        .withColumn("_level", _level(extent))
+        .withColumn("_fine", F.greatest(halved - F.pmod(halved, F.lit(2)), F.lit(0)))
+    )
 
-def in_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Inside an odd number of rings: holes and separate parts are further rings."""
-    return F.aggregate(rings, F.lit(False), lambda acc, r: acc != in_ring(x, y, r))
+
+def shape_strips(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
+    """Polygons as rows (poly_id, box, _level, _fine, _strip, edges): the edges that touch each horizontal strip.
+
+    A strip is as high as the polygon's edges are on average, to a power of two, so that an edge is in
+    few strips and a strip holds about as many edges as a horizontal line meets, however many
+    the ring has.
+    """
+    shape = ["min_x", "min_y", "max_x", "max_y", "_level", "_fine", "_shape"]
+    # Parts of one id in several rows are told apart; equal rows count once, as their edges do.
+    sized = _sized_edges(polygons, poly_id, ring).withColumn("_shape", F.xxhash64("_rings"))
+    listed = sized.select(poly_id, *shape, F.explode("_edges").alias("_edge"))
+    size = F.pow(F.lit(2.0), F.col("_level") - F.col("_fine"))
+    low, high = F.least("_edge.ay", "_edge.by"), F.greatest("_edge.ay", "_edge.by")
+    strips = listed.withColumn("_strip", F.explode(_span(low, high, size)))
+    return strips.groupBy(poly_id, *shape, "_strip").agg(F.collect_set("_edge").alias("edges")).drop("_shape")
 
 
 def points_in_polygons(
@@ -61,37 +94,36 @@ def points_in_polygons(
     parts. Points are placed once per location and matched to their rows by it, so
     repeated ids or copies of a point do no harm.
 
-    Every polygon is listed under a few cells of its own size class, and a point
-    under its cell of each class in use, so the candidates of a point are shapes of
-    about the size of their cell, however small or large. The join is a plain equality
-    on the cell: Spark broadcasts a small side and splits a crowded cell.
+    Polygons are cut into horizontal strips, which hold the few edges that a point there can
+    meet (``shape_strips``); whole rings are never shuffled. A strip is listed under the
+    columns of cells of its polygon's size class, and a point under its strip and column of each
+    class in use. The join is a plain equality: Spark broadcasts a small side and splits a crowded key.
     """
-    nested = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
-    rings = F.col(ring) if nested else F.array(ring)
-    boxes = polygons.select(poly_id, rings.alias("_rings")).withColumns(ring_bbox(F.flatten("_rings")))
-    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    shapes = _cells(boxes.withColumn("_level", _level(extent)), F.col("_level"))
-    classes = boxes.select(_level(extent).alias("l")).agg(F.collect_set("l").alias("ls")).scalar()
+    strips = shape_strips(polygons, poly_id, ring)
+    column = _span(F.col("min_x"), F.col("max_x"), F.pow(F.lit(2.0), F.col("_level")))
+    shapes = strips.withColumn("_column", F.explode(column))
+    classes = _sized_edges(polygons, poly_id, ring).agg(F.collect_set(F.struct("_level", "_fine")).alias("c")).scalar()
     px, py = F.col("_x"), F.col("_y")
+    level, fine = F.col("_class._level"), F.col("_class._fine")
     spots = (
         points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .dropna()
         .distinct()
-        .withColumn("_level", F.explode(classes))
-        .withColumn(
-            "_cell",
-            F.struct(
-                F.floor(px / F.pow(F.lit(2.0), F.col("_level"))).alias("x"),
-                F.floor(py / F.pow(F.lit(2.0), F.col("_level"))).alias("y"),
-            ),
+        .withColumn("_class", F.explode(classes))
+        .select(
+            "_x",
+            "_y",
+            level.alias("_level"),
+            fine.alias("_fine"),
+            F.floor(px / F.pow(F.lit(2.0), level)).alias("_column"),
+            F.floor(py / F.pow(F.lit(2.0), level - fine)).alias("_strip"),
         )
     )
-    candidates = spots.join(shapes, ["_level", "_cell"]).filter(
+    candidates = spots.join(shapes, ["_level", "_fine", "_column", "_strip"]).filter(
         px.between(F.col("min_x"), F.col("max_x")) & py.between(F.col("min_y"), F.col("max_y"))
     )
-    matches = (
-        candidates.filter(in_rings(px, py, F.col("_rings"))).groupBy("_x", "_y").agg(F.min(poly_id).alias(poly_id))
-    )
+    inside = F.aggregate("edges", F.lit(False), lambda odd, e: odd != crosses(px, py, e))
+    matches = candidates.filter(inside).groupBy("_x", "_y").agg(F.min(poly_id).alias(poly_id))
     at = (points[x].cast("double") == matches["_x"]) & (points[y].cast("double") == matches["_y"])
     return points.join(matches, at, how).drop("_x", "_y")
 

@@ -158,3 +158,55 @@ def test_plans_hold_no_cross_product(spark, sf):
     for df in (places.point_in_rect(spark, sf), places.bbox_intersection(spark, sf), places.dbscan(spark, sf)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def star(n, arms, seed=0):
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = 3 + np.cos(arms * turn) + np.random.default_rng(seed).uniform(0, 0.001, n)
+    return np.column_stack([far * np.cos(turn), far * np.sin(turn)])
+
+
+def even_odd(points, ring):
+    """Crossings of each point's ray with all edges."""
+    odd = np.zeros(len(points), bool)
+    x, y = points.T
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0)):
+        if ay != by:
+            odd ^= ((ay <= y) != (by <= y)) & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+    return odd
+
+
+@pytest.mark.parametrize("n,arms", [(7, 2), (300, 5), (100_000, 6)])
+def test_rings_of_many_points(spark, n, arms):
+    shape = star(n, arms)
+    at = np.random.default_rng(1).uniform(-4.2, 4.2, (400, 2))
+    at = np.concatenate([at, shape[:: max(n // 40, 1)]])
+    rings = spark.createDataFrame([(1, [(float(a), float(b)) for a, b in shape])], "poly_id int, ring array<struct<x:double,y:double>>")
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]}))
+    found = spatial.points_in_polygons(df, rings, "inner")
+    np.testing.assert_array_equal(np.sort([r.id for r in found.collect()]), np.flatnonzero(even_odd(at, shape)))
+    strips = spatial.shape_strips(rings, "poly_id", "ring").selectExpr("size(edges) AS n")
+    mean, total = strips.selectExpr("avg(n)", "sum(n)").first()
+    assert total <= 3 * n + 3
+    # A strip holds a few times the edges that a horizontal line meets on average.
+    rise = np.abs(np.diff(np.append(shape[:, 1], shape[0, 1])))
+    assert mean <= 8 * rise.sum() / np.ptp(shape[:, 1]) + 4
+
+
+def test_no_ring_is_shuffled(spark):
+    shape = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (2.0, 3.0)])], "poly_id int, ring array<struct<x:double,y:double>>")
+    plan = spatial.points_in_polygons(spark.createDataFrame([(1, 2.0, 1.0)], "id int, x double, y double"), shape)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    joins = text[: text.index("collect_set")]
+    assert "_rings" not in joins and "ring#" not in joins
+
+
+def test_parts_in_rows_of_one_id_and_repeated_polygons(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    inner = [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)]
+    odd = [(None, None), (1.0, 1.0), (1.0, 1.0)]
+    schema = "poly_id int, ring array<struct<x:double,y:double>>"
+    shapes = spark.createDataFrame([(1, square), (1, square), (1, inner), (2, []), (3, odd), (4, None)], schema)
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.2, 0.2), (3, 3.0, 1.0)], "id int, x double, y double")
+    assert {r.id: r.poly_id for r in spatial.points_in_polygons(df, shapes).collect()} == {1: 1, 2: 1, 3: None}
+    assert spatial.points_in_polygons(df, shapes.limit(0)).filter("poly_id IS NULL").count() == 3
