@@ -114,12 +114,12 @@ def additive_effect(
     effect: str,
     by: str | None = None,
     where: Column | None = None,
-    bins: int | None = 100,
+    bins: int | None = None,
     curves: bool = False,
 ) -> DataFrame:
     """Additive fit of a factor index and demeaned traits, nationally or per group.
 
-    Columns of smooths are rounded to ``bins`` points of their range (None: not at all). With ``curves``,
+    With ``bins``, columns of smooths are rounded to that many points of their range. With ``curves``,
     the evaluated smooths come in place of the table of terms.
     """
     df = df if where is None else df.filter(where)
