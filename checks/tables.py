@@ -319,3 +319,22 @@ def sample_of_groups(spark, sf):
     full = items.groupBy("l_suppkey").agg(F.count("*").alias("b"))
     both = drawn.join(full, "l_suppkey")
     return both.agg(F.count("*").cast("int").alias("groups"), F.bool_and(F.col("a") == F.col("b")).alias("whole"))
+
+
+def spread(key: str) -> str:
+    """A hash that both engines can compute, over the positive longs."""
+    return f"(CAST({key} AS BIGINT) * 2654435761 % 4294967296) * 2147483648"
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {spread('o_orderkey')}, o_orderkey LIMIT 5000")
+def sampled_rows(spark, sf):
+    """The rows of a sample, under a hash that SQL has as well."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.sample_n(orders, "o_orderkey", 5000, rank=F.expr(spread("o_orderkey")))
+
+
+@query(f"""SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN
+ (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY {spread('l_suppkey')}, l_suppkey LIMIT 7)""")
+def rows_of_sampled_groups(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return sampling.sample_groups(items, "l_suppkey", 7, rank=F.expr(spread("l_suppkey")))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 1 << 16
 
 
-def sample_n(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
+def sample_n(df: DataFrame, id: str, n: int, seed: int = 0, rank: Column | None = None) -> DataFrame:
     """``n`` rows in the order of a seeded hash of their id.
 
     Hashes are counted in buckets first. All rows of the buckets below the last one needed
-    belong to the sample; only the last bucket, about one row in 65,536, is ordered.
+    belong to the sample; only the last bucket, about one row in 65,536, is ordered. ``rank`` gives
+    another hash, spread over all longs or the positive ones, in place of the seeded one.
     """
-    rank = F.xxhash64(F.lit(seed), F.col(id))
+    rank = F.xxhash64(F.lit(seed), F.col(id)) if rank is None else rank
     bucket = F.shiftrightunsigned(rank, 48)
     marked = df.withColumns({"_rank": rank, "_bucket": bucket})
     upto = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
@@ -28,7 +29,7 @@ def sample_n(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
     return inside.unionByName(rest).drop("_rank", "_bucket")
 
 
-def sample_groups(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def sample_groups(df: DataFrame, key: str, n: int, seed: int = 0, rank: Column | None = None) -> DataFrame:
     """All rows of ``n`` sampled groups."""
-    chosen = sample_n(df.select(key).dropna().distinct(), key, n, seed)
+    chosen = sample_n(df.select(key).dropna().distinct(), key, n, seed, rank)
     return df.join(chosen, key, "left_semi")
