@@ -105,14 +105,22 @@ class Automaton:
         self.ends = [self.ends[s] for s in accepted]
         self.visits = [self.visits[s] for s in accepted]
 
-    def log_probability(self, text: str) -> float:
-        """Natural logarithm of a string's probability. A character never seen in a state
-        counts as ``unseen`` and leads back to the start."""
-        if not self.scores:
-            return self.unseen * (len(text) + 1)
+    def _walk(self, text: str) -> tuple[float, int]:
         state, total = 0, 0.0
         for c in text:
             steps, _ = self.scores[state]
             total += steps.get(c, self.unseen)
             state = self.next[state].get(c, 0)
+        return total, state
+
+    def log_probability(self, text: str) -> float:
+        """Natural logarithm of a string's probability. A character never seen in a state
+        counts as ``unseen`` and leads back to the start."""
+        if not self.scores:
+            return self.unseen * (len(text) + 1)
+        total, state = self._walk(text)
         return total + self.scores[state][1]
+
+    def log_prefix(self, text: str) -> float:
+        """As ``log_probability``, of all strings that start so."""
+        return self._walk(text)[0] if self.scores else self.unseen * len(text)
