@@ -13,14 +13,15 @@ Weights are log odds of lying in the content, learned from labelled pages: pages
 marked the content with an ``article`` or ``main`` element that is shown, and neither a comment
 nor a teaser (see ``_landmark``). At most
 ``labelled`` different ones are used, those with the least hashes of their html. Words of such a page score by block
-and by whether the landmark encloses them; on pages without a landmark, by block alone.
+and by whether the landmark encloses them, and those of a block that no label showed there as all words on that side of
+a landmark do, so that no part of a marked article is lost for its kind; on pages without a landmark, by block alone.
 
 Text is cut into blocks at block elements; character references are decoded, white space in a
 block becomes one space, blocks without text vanish, the rest are joined by line breaks.
 
 A null or empty page, or one without content, has the text "". Malformed markup never fails:
-a tag that is not closed ends with its parent, a comment or script with the page. Repeated and
-null ids pass through row by row, and other columns stay as they are.
+a tag that is not closed ends with its parent, a comment or script with the page. Time and memory are linear in a
+page's length. Repeated and null ids pass through row by row, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -252,6 +253,21 @@ def _key(feature: str, landmark: str | None, inside: bool) -> str:
     return feature if landmark is None else f"{feature}|{'in' if inside else 'out'}"
 
 
+def _side(feature: str, inside: bool) -> str:
+    """The weight's name of all words, or all tags, on a side of a landmark."""
+    return f"{'<' if feature[0] == '<' else ''}|{'in' if inside else 'out'}"
+
+
+def weight_of(feature: str, landmark: str | None, inside: bool, weights: dict[str, float]) -> float:
+    """A feature's weight; on pages with a landmark backed off to its side, never to the default of links."""
+    weight = weights.get(_key(feature, landmark, inside))
+    if weight is None and landmark is not None:
+        weight = weights.get(_side(feature, inside))
+        if weight is None and inside:
+            return TAG_LEAST if feature[0] == "<" else WORD_DEFAULT
+    return default_weight(feature) if weight is None else weight
+
+
 def learn_weights(df: DataFrame, html_col: str, labelled: int) -> dict[str, float]:
     """Log odds of content for each feature, from at most ``labelled`` labelled pages.
 
@@ -278,7 +294,7 @@ def learn_weights(df: DataFrame, html_col: str, labelled: int) -> dict[str, floa
                 items, landmark = read_page(page)
                 for feature, size, _, inside in items:
                     if feature is not None and landmark is not None:
-                        for key in (feature, _key(feature, landmark, inside)):
+                        for key in (feature, _key(feature, landmark, inside), _side(feature, inside)):
                             seen[key][not inside] += size
         # Only tags that separate blocks are counted, so names stay few.
         seen = {k: v for k, v in seen.items() if any(v)}
@@ -322,9 +338,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
         if feature is None:
             scores.append(0.0)
             continue
-        weight = weights.get(_key(feature, landmark, inside))
-        if weight is None:
-            weight = default_weight(feature)
+        weight = weight_of(feature, landmark, inside, weights)
         scores.append(weight if text is None else weight * size)
     low, high = best_run(scores)
     blocks: list[list[str]] = [[]]

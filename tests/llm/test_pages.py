@@ -144,3 +144,36 @@ def test_names_never_drop_what_encloses_the_content(names, tag):
 )
 def test_hidden_is_an_attribute(attrs, kept):
     assert pages.extract(f"<p>one</p><p {attrs}>two</p>", {}) == ("one\ntwo" if kept else "one")
+
+
+@pytest.mark.parametrize("weights", [
+    {"p|in": 4.0, "h1|in": 4.0, "p|out": -4.0, "p": 1.0, "h1": 1.0},
+    {"p|in": 4.0, "h1|in": 4.0, "p|out": -4.0, "|in": 4.0, "|out": -4.0, "<|in": -0.05, "<|out": -4.0},
+    {},
+])
+@pytest.mark.parametrize(
+    "inner,want",
+    [
+        ("<h1>T</h1><p>alpha beta gamma</p><ul><li><a>Reference one</a></li><li><a>Reference two</a></li></ul>", "T\nalpha beta gamma\nReference one\nReference two"),
+        ("<p><a>Byline</a></p><h1>T</h1><p>alpha beta</p>", "Byline\nT\nalpha beta"),
+        ("<h1>T</h1><table><tbody><tr><td>cell</td></tr></tbody></table>", "T\ncell"),
+        ("<table><tr><td><a>one</a></td></tr></table><p>alpha</p><dl><dt>a</dt><dd><a>b</a></dd></dl>", "one\nalpha\na\nb"),
+    ],
+)
+def test_no_part_of_a_marked_article_is_lost(inner, want, weights):
+    page = f"<body><p><a>site link</a></p><article>{inner}</article><ul><li><a>more</a></li></ul></body>"
+    text = pages.extract(page, weights)
+    assert want in text
+    if weights:
+        assert text == want
+
+
+def test_articles_with_kinds_of_blocks_that_no_label_had(spark):
+    """Held-out template: labels have paragraphs only."""
+    df = spark.createDataFrame(
+        [(k, f"<body><p><a>site {k}</a></p><article><p>plain{k} text of it</p></article><ul><li>foot</li></ul></body>") for k in range(20)],
+        "page_id long, html string",
+    )
+    weights = pages.learn_weights(df, "html", 20)
+    page = "<p>site</p><article><blockquote><a>quoted</a></blockquote><p>text</p><pre>code</pre></article><dl><dd>foot</dd></dl>"
+    assert pages.extract(page, weights) == "quoted\ntext\ncode"
