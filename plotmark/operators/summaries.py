@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotmark.functions.scalars import col
 from plotmark.operators.skew import attach_groups
+from plotmark.session import materialize
 
 # Sketch accuracy used to bracket an exact percentile; the rank error is under n / SKETCH.
 SKETCH = 10_000
+# Distinct values of a group that one task may order; brackets that may hold more are searched digit by digit.
+ORDERED_VALUES = 1_000_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -20,6 +23,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     are then counted below the bracket and, by distinct value, inside it; only those
     few counts are ordered. No task holds the values of a whole large group; a group
     of up to SKETCH values is its own bracket.
+
+    A bracket holds under 8 / SKETCH of its group. Where that may pass ``ORDERED_VALUES`` for the largest
+    group, nothing is ordered by value: see ``_by_digits``.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
@@ -45,6 +51,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         ]
     )
     sketch = sketch.select(*keys, "_n", brackets.alias("_b"), F.col("_n").alias("_size"))
+    sketch = materialize(sketch, "brackets")
+    largest = sketch.agg(F.max("_size")).first()[0] or 0
     if keys:
         located = attach_groups(rows, sketch, keys, "_size", "inner")
     else:
@@ -53,15 +61,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     side = located.select(*keys, "_v", F.inline("_b")).filter(F.col("_v") <= F.col("hi"))
     inside = F.col("_v") >= F.col("lo")
     counts = side.groupBy(*keys, "name", "rank", F.when(inside, F.col("_v")).alias("v")).agg(F.count("*").alias("c"))
-    ordered = counts.withColumn(
-        "upto", F.sum("c").over(_window([*keys, "name"]))
-    )
-    low, high = F.floor("rank"), F.ceil("rank")
-    picked = ordered.groupBy(*keys, "name", "rank").agg(
-        F.min(F.when((F.col("upto") > low) & F.col("v").isNotNull(), F.col("v"))).alias("a"),
-        F.min(F.when((F.col("upto") > high) & F.col("v").isNotNull(), F.col("v"))).alias("b"),
-        F.max(F.when(F.col("v").isNull(), F.col("c"))).alias("below"),
-    )
+    pick = _by_digits if min(largest, max(SKETCH, 8 * largest / SKETCH)) > ORDERED_VALUES else _by_order
+    picked = pick(counts, keys)
+    low = F.floor("rank")
     ok = (F.coalesce("below", F.lit(0)) <= low) & F.col("b").isNotNull()
     result = F.when(ok, F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)).otherwise(
         F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
@@ -70,8 +72,67 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     return wide
 
 
-def _window(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+def _by_order(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The values ``a`` and ``b`` around each rank, and the rows ``below`` the bracket, by running counts."""
+    group = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
+    upto = F.sum("c").over(group.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.col("v").isNotNull()
+    return counts.withColumn("upto", upto).groupBy(*keys, "name", "rank").agg(
+        F.min(F.when((F.col("upto") > F.floor("rank")) & known, F.col("v"))).alias("a"),
+        F.min(F.when((F.col("upto") > F.ceil("rank")) & known, F.col("v"))).alias("b"),
+        F.max(F.when(~known, F.col("c"))).alias("below"),
+    )
+
+
+def ordered_bits(v: Column) -> Column:
+    """A long that orders as the double ``v`` does: its magnitude's exponent and fraction bits, with the sign."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(size)).cast("int")
+    two = F.lit(2.0)
+    # A logarithm next to a whole number may be rounded across it.
+    fixed = F.when(size < F.pow(two, guess), guess - 1).when(size / two >= F.pow(two, guess), guess + 1).otherwise(guess)
+    exponent = F.greatest(fixed, F.lit(-1022))
+    fraction = (size / F.pow(two, exponent) * F.lit(2.0**52)).cast("long")
+    bits = (exponent + 1022).cast("long") * F.lit(2**52) + fraction
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(bits)
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def _by_digits(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_by_order``, with no order of values: four rounds fix 16 bits each of the wanted values.
+
+    A round counts the rows of every digit that follows the bits found so far, so at most
+    65,536 sums a wanted value are ordered, whatever the group's size.
+    """
+    group = [*keys, "name"]
+    ends = F.array(*[F.struct(F.lit(n).alias("end"), f("rank").alias("want")) for n, f in (("a", F.floor), ("b", F.ceil))])
+    counted = materialize(counts.withColumn("bits", ordered_bits(F.col("v"))), "counts")
+    heads = counted.groupBy(*group, "rank").agg(F.max(F.when(F.col("v").isNull(), F.col("c"))).alias("below"))
+    found = heads.select(*group, "rank", "below", F.inline(ends)).withColumns(
+        {"prefix": F.lit(None).cast("long"), "before": F.coalesce("below", F.lit(0).cast("long"))}
+    )
+    values = counted.filter(F.col("v").isNotNull()).select(*group, "v", "c", "bits")
+    running = Window.partitionBy(*group, "end").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("bits", shift)
+        # A digit with all bits above it; the first has the sign.
+        follows = F.shiftright("bits", shift + 16) == F.col("prefix") if shift < 48 else F.lit(True)
+        sums = (
+            values.join(found, group)
+            .filter(follows)
+            .groupBy(*group, "end", "rank", "below", "want", "before", digit.alias("_digit"))
+            .agg(F.sum("c").alias("_n"), F.min("v").alias("v"))
+        )
+        reached = sums.withColumn("_upto", F.col("before") + F.sum("_n").over(running))
+        hit = reached.filter((F.col("_upto") > F.col("want")) & (F.col("_upto") - F.col("_n") <= F.col("want")))
+        found = materialize(
+            hit.select(*group, "end", "rank", "below", "want", F.col("_digit").alias("prefix"), (F.col("_upto") - F.col("_n")).alias("before"), "v"),
+            "digits",
+        )
+        # The last round's digit is the whole value.
+        found = found if shift == 0 else found.drop("v")
+    values = found.groupBy(*group).agg(*[F.max(F.when(F.col("end") == end, F.col("v"))).alias(end) for end in ("a", "b")])
+    return heads.join(values, group, "left")
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:

@@ -132,3 +132,39 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         session.scratch_dir(Session())
     Conf.value = "hdfs://shared/folder"
     assert session.scratch_dir(Session()) == "hdfs://shared/folder"
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_percentiles_by_digits_order_no_values(spark, monkeypatch, by):
+    """Beyond the limit no task orders values; answers are those of NumPy."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    v = np.concatenate([rng.normal(size=n // 2), np.exp(rng.normal(scale=200, size=n // 3)), np.repeat([-0.0, 0.0, 7.5, -1e300], n // 24)])
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) % 3 == 0, "hot", [f"g{k}" for k in rng.integers(0, 40, n)]), "v": rng.permutation(v)})
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(summaries, "ORDERED_VALUES", 0)
+    monkeypatch.setattr(summaries, "_by_order", None)
+    probs = {"least": 0.0, "p10": 0.1, "mid": 0.5, "p99": 0.99, "most": 1.0}
+    got = summaries.exact_percentiles(df, by, "v", probs).toPandas()
+    parts = pdf.groupby("k") if by else [(None, pdf)]
+    for k, part in parts:
+        want = np.percentile(part.v, [100 * p for p in probs.values()])
+        row = got[got.k == k].iloc[0] if by else got.iloc[0]
+        np.testing.assert_allclose(row[list(probs)].to_numpy(float), want, rtol=1e-12)
+
+
+def test_percentiles_of_nothing_and_of_one_value(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "ORDERED_VALUES", 0)
+    df = spark.createDataFrame([("a", 2.5), ("b", None), (None, 1.0)], "k string, v double")
+    assert list(map(tuple, summaries.exact_percentiles(df, ["k"], "v", {"m": 0.5}).collect())) == [("a", 2.5)]
+    assert summaries.exact_percentiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_bits_order_as_doubles_do(spark):
+    rng = np.random.default_rng(2)
+    v = np.frombuffer(rng.bytes(8 * 20_000), dtype=np.float64)
+    exact = [2.0**k for k in range(-1074, 1024)] + [np.nextafter(2.0**k, 0) for k in range(-1000, 1024)]
+    v = np.concatenate([v[~np.isnan(v)], exact, [-x for x in exact], [0.0, np.inf, -np.inf, 1.7976931348623157e308]])
+    got = spark.createDataFrame(pd.DataFrame({"v": v})).withColumn("bits", summaries.ordered_bits(F.col("v"))).toPandas()
+    bits = got.v.to_numpy().view(np.int64)
+    assert (got.bits.to_numpy() == np.where(bits < 0, -(bits & 0x7FFFFFFFFFFFFFFF), bits)).all()
