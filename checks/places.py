@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.roles import query, r6, table
-from plotmark.operators import spatial
+from plotmark.operators import overlay, spatial
 from plotmark.operators.dbscan import dbscan as cluster_points
 from plotmark.plans.listings import listing_fee_by_polygon
 from plotmark.plans.neighbourhoods import infer_neighbourhood_status
@@ -73,6 +73,13 @@ def bbox_intersection(spark, sf):
     return found.withColumn("area", r6("area"))
 
 
+@query(f"WITH {SQL_BOXES}, {SQL_TILES} SELECT a, poly_id, round({SHARED}, 6) AS area FROM boxes b JOIN tiles t ON {MEET}")
+def polygon_overlaps(spark, sf):
+    corners = spatial.rectangle_ring(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]).alias("ring")
+    a, b = boxes(spark, sf).select("a", corners), tiles(spark, sf).select("poly_id", corners)
+    return overlay.polygon_overlaps(a, b, "a", "poly_id").withColumn("area", r6("area"))
+
+
 @query(f"""WITH {SQL_BOXES}, {SQL_TILES}, c AS (SELECT a, sum({SHARED}) AS s FROM boxes b JOIN tiles t ON {MEET} GROUP BY 1)
  SELECT a, round((max_x - min_x) * (max_y - min_y) - coalesce(s, 0), 6) + 0.0 AS area FROM boxes LEFT JOIN c USING (a)
  WHERE (max_x - min_x) * (max_y - min_y) - coalesce(s, 0) > 1e-12 * (max_x - min_x) * (max_y - min_y)""")
