@@ -97,7 +97,7 @@ def bbox_difference(spark, sf):
  SELECT poly_id, round((max_x - min_x) * (max_y - min_y) - coalesce(s, 0), 6) + 0.0 AS area FROM tiles LEFT JOIN u USING (poly_id)""")
 def bbox_difference_of_overlapping(spark, sf):
     """What the boxes, which overlap each other, leave of each tile."""
-    found = spatial.bbox_overlay(tiles(spark, sf), boxes(spark, sf), "poly_id", "a", "difference")
+    found = spatial.bbox_overlay(tiles(spark, sf), boxes(spark, sf), "poly_id", "a", "difference", keep_covered=True)
     return found.withColumn("area", r6("area"))
 
 

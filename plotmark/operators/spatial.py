@@ -184,10 +184,13 @@ def covered_area(clipped: DataFrame, id: str) -> DataFrame:
     return crossing.select(id, gain.alias("_gain")).groupBy(id).agg(F.sum("_gain").alias("covered"))
 
 
-def bbox_overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, how: str = "intersection") -> DataFrame:
+def bbox_overlay(
+    a: DataFrame, b: DataFrame, a_id: str, b_id: str, how: str = "intersection", keep_covered: bool = False
+) -> DataFrame:
     """Rectangle overlay (G6): shared areas of pairs, or what is left of each ``a`` box.
 
-    Boxes of ``b`` may overlap each other: what several of them cover is taken off once.
+    Boxes of ``b`` may overlap each other: what several of them cover is taken off once. An ``a`` box
+    of which nothing is left has no row, or with ``keep_covered`` one with area 0.
     """
     pairs = overlapping_boxes(a, b, a_id, b_id)
     if how == "intersection":
@@ -198,4 +201,8 @@ def bbox_overlay(a: DataFrame, b: DataFrame, a_id: str, b_id: str, how: str = "i
     covered = covered_area(pairs, a_id).withColumnRenamed("covered", "_covered")
     left = own - F.coalesce(F.col("_covered"), F.lit(0.0))
     # What is left of a box that is fully covered is a rounding error of its area.
-    return a.join(covered, a_id, "left").filter(left > 1e-12 * own).select(a_id, left.alias("area"))
+    some = left > 1e-12 * own
+    joined = a.join(covered, a_id, "left")
+    if keep_covered:
+        return joined.select(a_id, F.when(some, left).otherwise(0.0).alias("area"))
+    return joined.filter(some).select(a_id, left.alias("area"))

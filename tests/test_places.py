@@ -210,3 +210,12 @@ def test_parts_in_rows_of_one_id_and_repeated_polygons(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.2, 0.2), (3, 3.0, 1.0)], "id int, x double, y double")
     assert {r.id: r.poly_id for r in spatial.points_in_polygons(df, shapes).collect()} == {1: 1, 2: 1, 3: None}
     assert spatial.points_in_polygons(df, shapes.limit(0)).filter("poly_id IS NULL").count() == 3
+
+
+def test_covered_box_stays_with_area_zero_on_request(spark):
+    box = "id int, min_x double, min_y double, max_x double, max_y double"
+    a = spark.createDataFrame([(1, 0.0, 0.0, 0.3, 0.1), (2, 5.0, 5.0, 6.0, 7.0)], box)
+    b = spark.createDataFrame([(1, -1.0, -1.0, 0.2, 1.0), (2, 0.1, -1.0, 1.0, 1.0)], box.replace("id", "b"))
+    left = {r.id: r.area for r in spatial.bbox_overlay(a, b, "id", "b", "difference", keep_covered=True).collect()}
+    assert left == {1: 0.0, 2: 2.0}
+    assert [r.id for r in spatial.bbox_overlay(a, b, "id", "b", "difference").collect()] == [2]
