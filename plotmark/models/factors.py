@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plotmark.models.linear import RESULT, _give_back, _names, _term
-from plotmark.models.moments import batch_products, centre_of, pack_products, prepare, shifted
+from plotmark.models.moments import batch_products, centre_of, pack_products, prepare, shifted, summed_entries
 from plotmark.models.numeric import COLLINEAR, unpack
 from plotmark.operators.skew import attach_groups
 from plotmark.session import materialize
@@ -150,10 +150,12 @@ class _Cells:
         b, v = self.b, self.v
         number = lambda c: F.format_string("~%05d", F.col(c))
         groups = self.groups().drop("_size").select(*b, *self.group, F.col("g_n").alias("n"), *[F.col(f"g_{c}").alias(c) for c in v])
-        between = batch_products(groups, b, v, weight="n").withColumn("s", -F.col("s"))
-        out = batch_products(self.rows, b, v).unionByName(between).withColumns({"i": number("i"), "j": number("j")})
+        taken = lambda d: d.withColumns({"s": -F.col("s"), "whole": F.lit(0.0)})
+        between = taken(batch_products(groups, b, v, weight="n"))
+        total = batch_products(self.rows, b, v).withColumn("whole", F.col("s"))
+        out = total.unionByName(between).withColumns({"i": number("i"), "j": number("j")})
         if not self.small:
-            return out.groupBy(*b, "i", "j").agg(F.sum("s").alias("s"))
+            return summed_entries(out, b)
         near = _give_back(self.cells, self.groups(), [*b, *self.group], "_size", False)
         left = [(F.col(c) - F.col("n") * F.col(f"g_{c}") / F.col("g_n")).alias(c) for c in v]
         levels = F.explode(F.array(*[self.level(k) for k in self.small])).alias("i")
@@ -162,15 +164,16 @@ class _Cells:
         mixed = summed.select(
             *b, "i", F.inline(F.array(*[F.struct(F.lit(f"~{k:05d}").alias("j"), F.col(c).alias("s")) for k, c in enumerate(v)]))
         )
-        out = out.unionByName(own).unionByName(mixed)
+        whole = lambda d: d.withColumn("whole", F.col("s"))
+        out = out.unionByName(whole(own)).unionByName(whole(mixed))
         named = self.cells.select(*b, *self.group, "n", *[self.level(k).alias(f"e{k}") for k in self.small])
         names = [f"e{k}" for k in self.small]
         for p in range(len(names)):
             for q in range(p + 1, len(names)):
                 pairs = named.groupBy(*b, F.least(names[p], names[q]).alias("i"), F.greatest(names[p], names[q]).alias("j"))
-                out = out.unionByName(pairs.agg(F.sum("n").cast("double").alias("s")))
-        shares = _pair_shares(named, b, self.group, names).withColumn("s", -F.col("s"))
-        return out.unionByName(shares).groupBy(*b, "i", "j").agg(F.sum("s").alias("s"))
+                out = out.unionByName(whole(pairs.agg(F.sum("n").cast("double").alias("s"))))
+        shares = taken(_pair_shares(named, b, self.group, names))
+        return summed_entries(out.unionByName(shares), b)
 
     def solutions(self) -> DataFrame:
         """One row per fitted group: names, coefficients, kept columns and the inverse over these."""
@@ -196,7 +199,7 @@ class _Cells:
             # The first level of each effect is the one the others are compared with.
             first = [k for k in range(len(names) - p - 1) if not k or names[k].split(":")[0] != names[k - 1].split(":")[0]]
             use = [k for k in range(len(names) - 1) if k not in set(first)]
-            # What the largest effect explains entirely leaves rounding errors; its scale tells.
+            # What the largest effect explains entirely has no variation left.
             root, kept = cholesky(m[np.ix_(use, use)])
             y = m[use, -1]
             inner = np.linalg.inv(root) if kept else root

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plotmark.models.moments import (
+    CENTRED_ROUNDING,
     NARROW,
     batch_products,
+    beyond_rounding,
     cell_sums,
     centre_of,
     moments,
@@ -178,10 +180,16 @@ def _clustered_narrow(df: DataFrame, columns: list[str], by: list[str], absorb:
     around = [
         F.expr(f"sum(p_{i}_{j} + n * (m_{v[i]} - g_{v[i]}) * (m_{v[j]} - g_{v[j]})) AS p_{i}_{j}") for i, j in pairs
     ]
-    clusters = materialize(moved.groupBy(*b, *c).agg(F.sum("n").alias("n"), *around), "clusters")
+    squares = [F.expr(f"sum(n * g_{x} * g_{x}) AS q_{x}") for x in v]
+    clusters = materialize(moved.groupBy(*b, *c).agg(F.sum("n").alias("n"), *around, *squares), "clusters")
     sums = clusters.groupBy(*b).agg(
-        F.sum("n").alias("n"), F.count("*").alias("clusters"), *[F.expr(f"sum(p_{i}_{j}) AS p_{i}_{j}") for i, j in pairs]
+        F.sum("n").alias("n"),
+        F.count("*").alias("clusters"),
+        *[F.expr(f"sum(p_{i}_{j}) AS p_{i}_{j}") for i, j in pairs],
+        *[F.expr(f"sum(q_{x}) AS q_{x}") for x in v],
     )
+    own = {f"p_{i}_{i}": beyond_rounding(f"p_{i}_{i}", f"p_{i}_{i} + q_{x}", CENTRED_ROUNDING) for i, x in enumerate(v)}
+    sums = sums.withColumns(own)
     cross = F.expr(f"array({', '.join(f'p_{i}_{j}' for i, j in pairs)})")
     sums = sums.select(*b, "n", "clusters", cross.alias("cross"))
     means = groups.groupBy(*b).agg(

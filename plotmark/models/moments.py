@@ -23,6 +23,9 @@ from plotmark.session import materialize
 NARROW = 7
 # Groups of one batch that a task hands on together.
 FLUSH_GROUPS = 256
+# Shares of a column's whole sum of squares up to which what is left within groups is rounding: of
+# centred products, whose means err by a few hundred last digits at most, and of differences of sums.
+CENTRED_ROUNDING, DIFFERENCE_ROUNDING = 1e-25, 1e-11
 
 
 def demean(df: DataFrame, columns: Sequence[str], by: Sequence[str] | str, suffix: str = "_dm") -> DataFrame:
@@ -74,6 +77,13 @@ def prepare(
     return rows.dropna(), keys["_b"], keys["_a"], keys["_c"], v
 
 
+def beyond_rounding(product: Column | str, whole: Column | str, share: float) -> Column:
+    """A column's own product, or 0 where it is no more than rounding errors of its whole sum of squares,
+    so that a column which the groups explain shows no variation."""
+    product, whole = (F.expr(c) if isinstance(c, str) else c for c in (product, whole))
+    return F.when(product > share * whole, product).otherwise(0.0)
+
+
 def cell_sums(work: DataFrame, keys: Sequence[str], v: Sequence[str]) -> DataFrame:
     """Count, means and centred products per cell, from numerically stable aggregates."""
     pairs = triangle(len(v))
@@ -104,7 +114,10 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absor
         F.count("*").alias("groups"),
         *[F.expr(f"sum(n * m_{x}) / sum(n) AS m_{x}") for x in v],
         *[F.expr(f"sum(p_{n}) AS p_{n}") for n in names],
+        *[F.expr(f"sum(n * m_{x} * m_{x}) AS q_{x}") for x in v],
     )
+    own = {f"p_{i}_{i}": beyond_rounding(f"p_{i}_{i}", f"p_{i}_{i} + q_{x}", CENTRED_ROUNDING) for i, x in enumerate(v)}
+    summed = summed.withColumns(own)
     return summed.select(*b, "n", "groups", _packed("m_", v).alias("means"), _packed("p_", names).alias("cross"))
 
 
@@ -167,9 +180,23 @@ def _positions(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[tuple, obje
     return [(tuple(c[int(at[0])].as_py() for c in columns), at) for at in found.values()]
 
 
+def summed_entries(products: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, i, j, s): sums of (i, j) entries, see ``pack_products``."""
+    grouped = products.groupBy(*keys, "i", "j")
+    if "whole" not in products.columns:
+        return grouped.agg(F.sum("s").alias("s"))
+    entries = grouped.agg(F.sum("s").alias("s"), F.sum("whole").alias("whole"))
+    own = beyond_rounding("s", "whole", DIFFERENCE_ROUNDING)
+    return entries.select(*keys, "i", "j", F.when(F.col("i") == F.col("j"), own).otherwise(F.col("s")).alias("s"))
+
+
 def pack_products(products: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum (i, j) entries per key and list them as the upper triangle ``cross``."""
-    entries = products.groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    """Sum (i, j) entries per key and list them as the upper triangle ``cross``.
+
+    With a column ``whole``, the part of each entry that counts towards whole sums of squares,
+    entries on the diagonal that are rounding errors of these become 0.
+    """
+    entries = summed_entries(products, keys)
     listed = F.array_sort(F.collect_list(F.struct("i", "j", "s")))
     return entries.groupBy(*keys).agg(F.transform(listed, lambda e: e["s"]).alias("cross"))
 
@@ -190,8 +217,8 @@ def wide_moments(work: DataFrame, b: list[str], a: list[str], v: list[str]) -> D
     centre = centre_of(work, v)
     moved = shifted(work, centre)
     groups = moved.groupBy(*b, *a).agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in v])
-    total = batch_products(moved, b, v)
-    between = batch_products(groups, b, v, weight="n").withColumn("s", -F.col("s"))
+    total = batch_products(moved, b, v).withColumn("whole", F.col("s"))
+    between = batch_products(groups, b, v, weight="n").withColumns({"s": -F.col("s"), "whole": F.lit(0.0)})
     cross = pack_products(total.unionByName(between), b)
     counts = groups.groupBy(*b).agg(
         F.sum("n").alias("n"),

@@ -142,3 +142,9 @@ def test_models_with_other_missing_rows_are_fitted_alone(rows):
     specs = {"full": {"y": "y", "x": ["x2"]}, "holes": {"y": "y", "x": ["x2", "x1"]}}
     n = {r.model: r.n for r in linear.fit_specs(rows, specs).collect()}
     assert n["full"] == 2000 > n["holes"]
+
+
+def test_column_constant_within_largest_effect_is_collinear(spark):
+    rows = spark.range(0, 49 * 40, 1, 40).selectExpr("id % 30 AS g", "id % 7 AS m", "1000.3 + id % 30 / 7 AS x1", "cos(id * 3) AS x2", "sin(id * id) AS y")
+    fit = factors.factor_ols(rows, "y", ["x1", "x2"], ["m"], "g").toPandas().set_index("term")
+    assert fit.reason["x1"] == "collinear" and fit.reason.isna()["x2"]

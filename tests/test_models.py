@@ -233,3 +233,15 @@ def test_screening(rows, data):
         assert abs(got.loc[c, "coef"] - np.polyfit(data[c], data.y, 1)[0]) < 1e-9
     r = screening.correlation(rows, "x0", "y").first()
     assert abs(r.r - np.corrcoef(data.x0, data.y)[0, 1]) < 1e-9 and 0 <= r.p <= 1
+
+
+@pytest.mark.parametrize("width", [2, 13])
+@pytest.mark.parametrize("cluster", [None, "c"])
+@pytest.mark.parametrize("value", ["1", "0.1 + g"])
+def test_column_constant_within_effect_is_collinear_on_many_partitions(spark, width, cluster, value):
+    # 49 rows of a cell in each partition: 1 / 49 * 49 is not 1 in doubles, so that means err in their last digit.
+    rows = spark.range(0, 49 * 6 * 8, 1, 8).selectExpr("id % 3 AS g", "id % 2 AS s", "id % 5 AS c", "sin(id * id) AS y", *[f"cos(id * {k + 2}) AS x{k}" for k in range(width)])
+    rows = rows.withColumn("x0", F.when(F.col("s") == 0, F.expr(value)).otherwise(F.col("x0")))
+    fit = linear.ols(rows, "y", [f"x{k}" for k in range(width)], "g", cluster, by="s").toPandas().set_index(["s", "term"])
+    assert fit.loc[(0, "x0")].reason == "collinear" and np.isnan(fit.loc[(0, "x0")].coef)
+    assert fit.drop(index=(0, "x0")).reason.isna().all()
