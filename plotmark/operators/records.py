@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,14 +55,18 @@ def child_flag(
     flags: Mapping[str, Column],
     mode: str = "any",
     order: Sequence[str | Column] = (),
+    unset: bool = True,
 ) -> DataFrame:
     """0/1 flags per key from a child table.
 
     ``any``: set when some child row qualifies. ``first``: the answer of the first
-    child row alone, which needs an ``order``.
+    child row alone, which needs an ``order``. Without ``unset``, keys that set no flag
+    may be missing, for joins that fill in 0: ``any`` then shuffles only rows that set one.
     """
     tests = {name: F.when(test, 1).otherwise(0) for name, test in flags.items()}
     if mode == "any":
+        if not unset:
+            child = child.filter(reduce(or_, flags.values()))
         return child.groupBy(key).agg(*[F.max(t).alias(n) for n, t in tests.items()])
     if mode != "first":
         raise ValueError(f"mode must be any or first, not {mode}")

@@ -14,6 +14,7 @@ from plotmark.models.moments import demean
 from plotmark.models.screening import correlation, fitted_line
 from plotmark.operators.areas import group_size
 from plotmark.operators.summaries import interact, levels_of, one_hot, standardise
+from plotmark.session import materialize
 from plotmark.sources.contracts import lookup
 
 # House age classes and the size of a large subdivision.
@@ -43,11 +44,14 @@ def regression_base(
             "SS": F.substring("FIPS", 1, 2),
         }
     )
+    # Written, as group sizes, levels and the result all read it and it is the end of many joins.
+    df = materialize(df, "sales")
+    found = {factor: levels_of(df, factor) for factor in factors}
     df = group_size(df, ["FIPS", "LegalSubdivisionName"], "subdiv_size", no_name=["NA", ""])
     for table, key in covariates:
         df = lookup(df, table, key)
     for factor in factors:
-        df = one_hot(df, factor, levels_of(sales, factor), drop_first=True)
+        df = one_hot(df, factor, found[factor], drop_first=True)
     return df
 
 

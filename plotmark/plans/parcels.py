@@ -72,7 +72,7 @@ def parcel_features(tables: Mapping[str, DataFrame], tx_main: DataFrame, propert
 
     ``tables`` holds the assessment tables by name. Every child table is reduced to
     one row per parcel before it is joined: the first one by the number in ``sequence``
-    where a single record counts.
+    where a single record counts. Flags that no record of a parcel sets are filled in after the join.
     """
     key = "RowID"
     c = F.col
@@ -108,21 +108,21 @@ def parcel_features(tables: Mapping[str, DataFrame], tx_main: DataFrame, propert
         child_flag(appeal, key, {
             "waterfrnt": c("LotSiteAppealStndCode").isin(*codes.WATERFRONT),
             "golf": c("LotSiteAppealStndCode").isin(*codes.GOLF),
-        }, mode, [sequence]),
+        }, mode, [sequence], unset=False),
         largest_per_key(areas, key, "BuildingAreaSqFt",
                         (c("BuildingAreaSequenceNumber") == 1) & c("BuildingAreaStndCode").isin(*codes.LIVING_AREAS)),
         child_flag(floor, key, {
             "carpet_fl": c("InteriorFlooringTypeStndCode").isin(*codes.CARPET),
             "wood_fl": c("InteriorFlooringTypeStndCode").isin(*codes.WOOD_FLOOR),
-        }, mode, [sequence]),
+        }, mode, [sequence], unset=False),
         first_per_key(tables["ExteriorWall"].select(key, sequence, "ExteriorWallStndCode"), key, [sequence]).select(
             key, category("ExteriorWallStndCode", codes.WALL_GROUPS).alias("extwall")),
         first_values(garage, key, ["GarageAreaSqFt", "GarageNoOfCars"], sequence),
         child_flag(extra, key, {
             "deck": c("ExtraFeaturesStndCode").isin(*codes.DECK),
             "fence": c("ExtraFeaturesStndCode").startswith(codes.FENCE_PREFIX),
-        }, mode, [sequence]),
-        child_flag(tables["Pool"], key, {"pool": c("PoolStndCode").isin(*codes.POOL)}, mode, [sequence]),
+        }, mode, [sequence], unset=False),
+        child_flag(tables["Pool"], key, {"pool": c("PoolStndCode").isin(*codes.POOL)}, mode, [sequence], unset=False),
         tables["Oby"].groupBy(key).agg(F.coalesce(F.sum("OBYAreaSqFt"), F.lit(0.0)).alias("oby_sqft")),
     ]
     absent = ["GarageAreaSqFt", "GarageNoOfCars", "pool", "deck", "golf", "waterfrnt", "carpet_fl", "wood_fl", "fence"]
