@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plotmark.models.linear import RESULT, _give_back, _names, _term
-from plotmark.models.moments import batch_products, centre_of, pack_products, prepare, shifted, summed_entries
+from plotmark.models.moments import NARROW, batch_products, centre_of, pack_products, prepare, shifted, summed_entries, triangle
 from plotmark.models.numeric import COLLINEAR, unpack
 from plotmark.operators.skew import attach_groups
 from plotmark.session import materialize
 
 # Levels whose counts meet in one task's table before it is handed on.
 FLUSH_LEVELS = 2000
+# Groups count densely if their pairs fill one DENSE-th of the table; else so many pairs are held at a time.
+DENSE, PAIRS = 16, 1 << 20
 
 
 def cholesky(a: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -45,6 +47,33 @@ def cholesky(a: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return np.array(rows).T[kept], kept
 
 
+def _shares(group: np.ndarray, level: np.ndarray, levels: int, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Products of the counts ``n`` of all pairs of levels over their group's size, summed over groups.
+
+    Rows of a group are together. Groups that have most levels give a dense matrix of counts, others
+    their own pairs.
+    """
+    new = np.r_[True, group[1:] != group[:-1]]
+    starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+    sizes = np.diff(np.r_[starts, len(group)])
+    if DENSE * (sizes.astype(float) ** 2).sum() >= len(starts) * levels**2:
+        counts = np.zeros((len(starts), levels))
+        np.add.at(counts, (which, level), n / np.sqrt(size))
+        return counts.T @ counts
+    out = np.zeros(levels * levels)
+    partners = sizes[which]
+    ends = np.cumsum(partners)
+    low = 0
+    while low < len(level):
+        high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")), low + 1)
+        m = partners[low:high]
+        i = np.repeat(np.arange(low, high), m)
+        j = np.repeat(starts[which[low:high]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        out += np.bincount(level[i] * levels + level[j], n[i] * n[j] / size[i], len(out))
+        low = high
+    return out.reshape(levels, levels)
+
+
 def _pair_shares(cells: DataFrame, b: list[str], group: list[str], levels: list[str]) -> DataFrame:
     """(b, i, j, s): sums over groups of the products of level counts over the group's size.
 
@@ -75,41 +104,48 @@ def _pair_shares(cells: DataFrame, b: list[str], group: list[str], levels: list[
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at, names, table = None, None, {}, np.zeros((64, 64))
 
-        def add(group: pd.DataFrame) -> None:
-            nonlocal table
-            for level in group["level"]:
+        def add(part: pd.DataFrame, key: tuple) -> Iterator[pd.DataFrame]:
+            """Whole groups of one key with at most ``FLUSH_LEVELS`` rows, or a single group."""
+            nonlocal at, names, table
+            own, levels = pd.factorize(part["level"])
+            new = sum(level not in names for level in levels)
+            if at is not None and (key != at or (names and len(names) + new > FLUSH_LEVELS)):
+                yield rows(at, names, table)
+                names, table = {}, np.zeros((64, 64))
+            at = key
+            for level in levels:
                 names.setdefault(level, len(names))
             if len(names) > len(table):
                 grown = np.zeros((max(len(names), 2 * len(table)),) * 2)
                 grown[: len(table), : len(table)] = table
                 table = grown
-            index = group["level"].map(names).to_numpy()
-            n = group["n"].to_numpy(float)
-            order = np.argsort(index)
-            index, n = index[order], n[order]
-            table[np.ix_(index, index)] += np.outer(n, n) / float(group["g_n"].iloc[0])
+            index = np.array([names[level] for level in levels])
+            group = part["group"].to_numpy()
+            shares = _shares(group, own, len(levels), part["n"].to_numpy(float), part["g_n"].to_numpy(float))
+            table[np.ix_(index, index)] += shares
 
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame])
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             held = None
             if not len(frame):
                 continue
-            keyed = list(frame.groupby([*b, "group"], sort=False, dropna=False))
+            # Null keys count as equal.
+            code = [pd.factorize(frame[c], use_na_sentinel=False)[0] for c in [*b, "group"]]
+            change = lambda codes: np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+            starts = change(code) if len(frame) > 1 else np.zeros(1, int)
             # The last group may go on in the next frame.
-            held = keyed[-1][1]
-            for key, group in keyed[:-1]:
-                if at is not None and (key[:-1] != at or len(names) >= FLUSH_LEVELS):
-                    yield rows(at, names, table)
-                    names, table = {}, np.zeros((64, 64))
-                at = key[:-1]
-                add(group)
+            held = frame.iloc[starts[-1] :]
+            keyed = set(change(code[:-1])) if len(frame) > 1 and b else {0}
+            low = 0
+            for k in range(1, len(starts)):
+                end = starts[k]
+                after = starts[k + 1] if k + 1 < len(starts) else None
+                if after is None or end in keyed or after - starts[low] > FLUSH_LEVELS:
+                    part = frame.iloc[starts[low] : end]
+                    yield from add(part, tuple(part[c].iloc[0] for c in b))
+                    low = k
         if held is not None:
-            key = tuple(held[c].iloc[0] for c in b)
-            if at is not None and key != at:
-                yield rows(at, names, table)
-                names, table = {}, np.zeros((64, 64))
-            at = key
-            add(held)
+            yield from add(held, tuple(held[c].iloc[0] for c in b))
         if at is not None:
             yield rows(at, names, table)
 
@@ -128,6 +164,9 @@ class _Cells:
         self.centre = centre_of(self.work, self.v)
         self.rows = shifted(self.work, self.centre)
         sums = [F.count("*").alias("n"), *[F.sum(c).alias(c) for c in self.v]]
+        # Products of few columns come with the cells, so that rows need no scan of their own.
+        self.pairs = triangle(len(self.v)) if len(self.v) <= NARROW else []
+        sums += [F.expr(f"sum({self.v[i]} * {self.v[j]}) AS p_{i}_{j}") for i, j in self.pairs]
         self.cells = materialize(self.rows.groupBy(*self.b, *keys).agg(*sums), "cells")
         sizes = self.cells.agg(*[F.approx_count_distinct(F.struct(*e)) for e in self.effects]).first()
         self.largest = max(range(len(effects)), key=lambda k: sizes[k])
@@ -142,6 +181,14 @@ class _Cells:
         sums = [F.sum("n").alias("g_n"), *[F.sum(c).alias(f"g_{c}") for c in self.v]]
         return self.cells.groupBy(*self.b, *self.group).agg(F.count("*").alias("_size"), *sums)
 
+    def products(self) -> DataFrame:
+        """(b, i, j, s): products of the numeric columns over all rows, i and j by number."""
+        if not self.pairs:
+            return batch_products(self.rows, self.b, self.v)
+        summed = self.cells.groupBy(*self.b).agg(*[F.expr(f"sum(p_{i}_{j}) AS p_{i}_{j}") for i, j in self.pairs])
+        listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p_{i}_{j}").alias("s")) for i, j in self.pairs])
+        return summed.select(*self.b, F.inline(listed))
+
     def entries(self) -> DataFrame:
         """(b, i, j, s): the products of all columns around the means of the eliminated groups.
 
@@ -152,7 +199,7 @@ class _Cells:
         groups = self.groups().drop("_size").select(*b, *self.group, F.col("g_n").alias("n"), *[F.col(f"g_{c}").alias(c) for c in v])
         taken = lambda d: d.withColumns({"s": -F.col("s"), "whole": F.lit(0.0)})
         between = taken(batch_products(groups, b, v, weight="n"))
-        total = batch_products(self.rows, b, v).withColumn("whole", F.col("s"))
+        total = self.products().withColumn("whole", F.col("s"))
         out = total.unionByName(between).withColumns({"i": number("i"), "j": number("j")})
         if not self.small:
             return summed_entries(out, b)

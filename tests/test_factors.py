@@ -148,3 +148,46 @@ def test_column_constant_within_largest_effect_is_collinear(spark):
     rows = spark.range(0, 49 * 40, 1, 40).selectExpr("id % 30 AS g", "id % 7 AS m", "1000.3 + id % 30 / 7 AS x1", "cos(id * 3) AS x2", "sin(id * id) AS y")
     fit = factors.factor_ols(rows, "y", ["x1", "x2"], ["m"], "g").toPandas().set_index("term")
     assert fit.reason["x1"] == "collinear" and fit.reason.isna()["x2"]
+
+
+@pytest.mark.parametrize("dense", [0, 1e9])
+def test_shares_of_pairs(monkeypatch, dense):
+    monkeypatch.setattr(factors, "DENSE", dense)
+    monkeypatch.setattr(factors, "PAIRS", 7)
+    rng = np.random.default_rng(1)
+    group = np.sort(rng.integers(0, 9, 40))
+    level = np.concatenate([rng.permutation(12)[: (group == g).sum()] for g in np.unique(group)])
+    n, size = rng.integers(1, 9, 40).astype(float), 50.0 + group
+    want = np.zeros((12, 12))
+    for g in np.unique(group):
+        at = group == g
+        want[np.ix_(level[at], level[at])] += np.outer(n[at], n[at]) / (50.0 + g)
+    np.testing.assert_allclose(factors._shares(group, level, 12, n, size), want)
+
+
+@pytest.mark.parametrize("flush", [3, 2000])
+def test_pair_shares_by_key_and_in_small_frames(spark, monkeypatch, flush):
+    monkeypatch.setattr(factors, "FLUSH_LEVELS", flush)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rows = [(k % 3, k // 12, f"1:{k % 4}", f"2:{k * k % 5}", 1 + k % 6) for k in range(150)]
+    cells = spark.createDataFrame(rows, "b int, g int, e1 string, e2 string, n long")
+    got = {(r.b, r.i, r.j): r.s for r in factors._pair_shares(cells, ["b"], ["g"], ["e1", "e2"]).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for b, g in {r[:2] for r in rows}:
+        counts: dict = {}
+        for r in rows:
+            if r[:2] == (b, g):
+                for level in r[2:4]:
+                    counts[level] = counts.get(level, 0) + r[4]
+        size = sum(r[4] for r in rows if r[:2] == (b, g))
+        for i in counts:
+            for j in counts:
+                if i <= j:
+                    want[b, i, j] = want.get((b, i, j), 0) + counts[i] * counts[j] / size
+    assert got == pytest.approx(want)
+
+
+def test_products_of_few_columns_need_no_scan_of_rows(rows):
+    cells = factors._Cells(rows, "y", ["x1", "x2"], ["m"], ["g"], ["c"], [])
+    assert not set(cells.products().inputFiles()) & set(cells.work.inputFiles())
