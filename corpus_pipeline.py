@@ -39,7 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles alike by 0.8 or more), the document
-    with the least id stays, once."""
+    with the least id stays, once. Links are found by fingerprints and checked exactly; prefix
+    filtering finds those that fingerprints miss."""
     copies = jaccard.near_copies(docs.select(_row_key().alias("key"), "text"), id_col="key")
     first = copies.filter(F.col("key") == F.col("component_id")).select(F.col("key").alias("_key")).distinct()
     keyed = docs.withColumn("_key", _row_key())

@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near copies by exact Jaccard similarity of word shingles, found by fingerprints and, where
+these miss links, by prefix filtering.
 
 Two texts are linked if the sets of their shingles (runs of ``size`` words, ASCII letters in
 lower case; a shorter text is one shingle) have a similarity of ``SHARE`` or more. With all
@@ -6,7 +7,14 @@ shingles in one common order, two such sets share one of the first n - ceil(0.8
 so no link is lost. Common shingles come last in that order. It is taken from hashed counters
 of all texts, of a fixed size; the order moves the work, never the result.
 
-Texts with equal sets become one node first. Nodes that share a prefix shingle and can still
+Texts with equal sets become one node first, and each node has the SimHash fingerprint of its
+set. Bit-sliced comparison (``simhash``) finds for each node the closest of those before it
+within ``RADIUS`` bits; these pairs are checked on the whole sets like all others, so that a
+fingerprint alone links nothing, and most near copies are in their component before a shingle
+is compared. Fingerprints miss a part of the links, most of all near the least similarity; the
+rounds below find every link that is then still missing between components.
+
+Nodes of different components that share a prefix shingle and can still
 reach the similarity, by their sizes and the shingle's places, are candidates. Each node has a
 parity bitmap, in which each shingle toggles a bit: two bitmaps differ in no more bits than
 their sets differ in shingles, so a candidate whose bitmaps differ in more than the similarity
@@ -32,12 +40,15 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from plotmark.llm import simhash
 from plotmark.llm.common import release, small_batches, texts
 from plotmark.operators.components import connected_components
 from plotmark.session import discard, materialize, materialize_counted
 
 # The least similarity, as a fraction.
 SHARE = (4, 5)
+# Bits in which the fingerprints of candidates may differ.
+RADIUS = 8
 # Bits of a shingle's hash that choose its counter, and counters that are summed together.
 COUNTER_BITS, SUM_BITS = 22, 14
 # Least bits of a bitmap.
@@ -151,7 +162,7 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, counts: Broadcast, size: int) -> DataFrame:
-    """(id, node, n, text_hash, prefix, bitmap) per row."""
+    """(id, node, n, text_hash, print, prefix, bitmap) per row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, np.uint32)
@@ -163,14 +174,16 @@ def _sets(docs: DataFrame, counts: Broadcast, size: int) -> DataFrame:
                     pa.array([_node(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     batch.column("text_hash"),
+                    pa.array(np.array([simhash.of_hashes(s) for s in sets], np.uint64).view(np.int64)),
                     pa.array([prefix(s, table).view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([parity(s) for s in sets], pa.binary()),
                 ],
-                ["id", "node", "n", "text_hash", "prefix", "bitmap"],
+                ["id", "node", "n", "text_hash", "print", "prefix", "bitmap"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(make, f"id {kind}, node long, n long, text_hash long, prefix array<long>, bitmap binary")
+    columns = "node long, n long, text_hash long, print long, prefix array<long>, bitmap binary"
+    return docs.mapInArrow(make, f"id {kind}, {columns}")
 
 
 def _members(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -267,6 +280,22 @@ def _batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates by fingerprint, a pair per node at most. Nodes of one fingerprint meet the
+    least of them; these meet the closest fingerprint before theirs within ``RADIUS``."""
+    prints, seen = materialize_counted(
+        nodes.groupBy("print").agg(F.min("node").alias("first")), "prints", rows=F.count("*")
+    )
+    same = nodes.select("node", "print").join(prints, "print").filter("node <> first")
+    near = simhash.closest_before(
+        prints.select(F.col("print").alias("node")), RADIUS, simhash.blocks_to_match(seen["rows"], RADIUS)
+    )
+    of = lambda x: prints.select(F.col("print").alias(x), F.col("first").alias(f"node_{x}"))
+    ends = near.join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    both = ends.unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _star_pairs(cells: DataFrame, round_: int) -> DataFrame:
     """(a, b): candidates of each key's first node, in this round's order, with the others."""
 
@@ -347,7 +376,30 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, root) of the nodes with links; ``nodes`` has node, n, text_hash, prefix and bitmap."""
+    """(node, root) of the nodes with links; ``nodes`` has node, n, text_hash, print, prefix and bitmap."""
+    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    edges = materialize(none, "links")
+    roots = connected_components(edges)
+
+    def link(near: DataFrame) -> None:
+        nonlocal edges, roots
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialize(nodes.select("node", "text_hash").join(ends, "node", "left_semi"), "wanted")
+        members = materialize(_members(docs, wanted, size), "members")
+        more, seen = materialize_counted(_verified(near, members), "links", rows=F.count("*"))
+        for table in (near, wanted, members):
+            discard(table)
+        if seen["rows"]:
+            edges = edges.unionByName(more)
+            roots = materialize(connected_components(edges), "roots")
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        near = materialize(_screened(pairs, nodes), "near")
+        discard(pairs)
+        return near
+
+    link(screened(_print_pairs(nodes)))
     keys = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
     live = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_live, "node long, n long, pos long, key long")
     cells = materialize(live, "cells")
@@ -359,25 +411,12 @@ def links(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         tiles = hot.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
         tiled = cells.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    edges = materialize(cells.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    roots = connected_components(edges)
     for round_ in range(STARS + 1):
         rooted = tiled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if round_ < STARS:
-            pairs = materialize(_star_pairs(rooted, round_), "pairs")
-            near = materialize(_screened(pairs, nodes), "near")
-            discard(pairs)
+            link(screened(_star_pairs(rooted, round_)))
         else:
-            near = materialize(_all_pairs(rooted, nodes), "near")
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(nodes.select("node", "text_hash").join(ends, "node", "left_semi"), "wanted")
-        members = materialize(_members(docs, wanted, size), "members")
-        more, seen = materialize_counted(_verified(near, members), "links", rows=F.count("*"))
-        for table in (near, wanted, members):
-            discard(table)
-        if seen["rows"]:
-            edges = edges.unionByName(more)
-            roots = materialize(connected_components(edges), "roots")
+            link(materialize(_all_pairs(rooted, nodes), "near"))
     discard(cells)
     return roots
 
@@ -394,7 +433,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     counts = df.sparkSession.sparkContext.broadcast(_counts(docs, size).tobytes())
     sets = materialize(_sets(docs, counts, size), "sets")
     grouped = sets.groupBy("node").agg(
-        F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "text_hash", "prefix", "bitmap")]
+        F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "text_hash", "print", "prefix", "bitmap")]
     )
     nodes = materialize(grouped, "nodes")
     known = materialize(sets.select("id", "node"), "ids")

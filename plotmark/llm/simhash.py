@@ -10,7 +10,7 @@ tables take more blocks, hence longer keys; the links are the same for every cho
 with many nodes is split into tiles that meet pairwise, so no task holds a whole hot key.
 Within a tile, distances to 64 nodes at a time are counted in bit planes, and what exceeds
 the radius in every lane is dropped early. A tile gives a spanning forest of its links, never
-its pairs.
+its pairs, or each fingerprint's closest one before it.
 
 Null and empty texts have no shingle and the fingerprint zero, linked like any other. A
 component's id is its least document id; null ids never are, unless all its ids are null.
@@ -49,8 +49,24 @@ def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
         part = words[low : low + (1 << 16) + size - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(size)))) if len(words) >= size else [b" ".join(part)]
         hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += _set_bits(hashes)
+    return _majority(counts, half)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of a text given by the hashes of its shingles."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 1 << 16):
+        counts += _set_bits(hashes[low : low + (1 << 16)])
+    return _majority(counts, len(hashes))
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, half: int) -> int:
     return int(np.packbits(2 * counts > half, bitorder="little").view("<u8")[0])
 
 
@@ -80,10 +96,29 @@ def close_forest(prints: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
     ``group`` numbers are ascending. Members are in one component if a chain of
     distances up to ``radius`` joins them; the member named is the first of it.
     """
+    label = np.arange(len(prints))
+    for a, b in _near(prints, group, radius):
+        label = _joined(label, a, b)
+    return label
+
+
+def closest(prints: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint, the place of the closest of those before it in its group, the first
+    of equally close ones, or -1 if none is within ``radius``. ``group`` numbers are ascending."""
+    none = np.iinfo(np.int64).max
+    best = np.full(len(prints), none)
+    for a, b in _near(prints, group, radius, _SLAB // 4):
+        np.minimum.at(best, b, np.bitwise_count(prints[a] ^ prints[b]).astype(np.int64) << 32 | a)
+    return np.where(best == none, -1, best & (2**32 - 1))
+
+
+def _near(
+    prints: np.ndarray, group: np.ndarray, radius: int, slab: int = _SLAB
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), part by part: the places a < b of a group whose fingerprints are within ``radius``."""
     n = len(prints)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
     words = -(-sizes // 64)
@@ -103,7 +138,7 @@ def close_forest(prints: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
     ends = np.cumsum(meets)
     low = 0
     while low < n:
-        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _SLAB, "right"))
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + slab, "right"))
         high = min(max(high, low + 1), n)
         m = meets[low:high]
         query = np.repeat(np.arange(low, high), m)
@@ -111,9 +146,8 @@ def close_forest(prints: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
         a, b = _close_pairs(prints, planes, lanes, query, target, radius)
         b = np.repeat(starts - first_word * 64, sizes)[a] + b
         keep = b > a
-        label = _joined(label, a[keep], b[keep])
+        yield a[keep], b[keep]
         low = high
-    return label
 
 
 def _close_pairs(prints, planes, lanes, query, target, radius):
@@ -185,14 +219,18 @@ def blocks_to_match(nodes: int, radius: int) -> int:
     return match
 
 
-def links(nodes: DataFrame, radius: int, match: int, tile: int = TILE) -> DataFrame:
-    """(a, b): edges that join all nodes within ``radius``; ``nodes`` has distinct prints ``node``."""
+# A node meets those with the same of these; the tiles are null where the key has one.
+_CELL = ["choice", "key", "s", "t"]
+
+
+def _dealt(nodes: DataFrame, radius: int, match: int, tile: int) -> DataFrame:
+    """The nodes under each of their keys, and of hot keys in each pair of tiles."""
     masks = [F.col("node").bitwiseAND(F.lit(_signed(m))) for m in _keys(radius, match)]
     keyed = nodes.select("node", F.posexplode(F.array(*masks)).alias("choice", "key"))
     hot = materialize(
         keyed.groupBy("choice", "key").count().filter(F.col("count") > tile), "hot-keys"
     ).select("choice", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    dealt = (
+    return (
         keyed.join(hot, ["choice", "key"], "left")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn(
@@ -211,20 +249,48 @@ def links(nodes: DataFrame, radius: int, match: int, tile: int = TILE) -> DataFr
             "node",
         )
     )
-    cell = ["choice", "key", "s", "t"]
+
+
+def links(nodes: DataFrame, radius: int, match: int, tile: int = TILE) -> DataFrame:
+    """(a, b): edges that join all nodes within ``radius``; ``nodes`` has distinct prints ``node``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _whole_cells(batches, cell):
-            prints = block.pop("node")
-            change = np.zeros(len(prints), bool)
-            for c in block.values():
-                change[1:] |= c[1:] != c[:-1]
-            root = close_forest(prints.view(np.uint64), np.cumsum(change), radius)
+        for prints, group in _grouped(batches):
+            root = close_forest(prints.view(np.uint64), group, radius)
             moved = np.flatnonzero(root != np.arange(len(root)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(prints[moved]), pa.array(prints[root[moved]])], ["a", "b"])
 
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long").distinct()
+    dealt = _dealt(nodes, radius, match, tile).repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def closest_before(nodes: DataFrame, radius: int, match: int, tile: int = TILE) -> DataFrame:
+    """(a, b): of all nodes a < b within ``radius`` the closest, the least of equally close ones,
+    for each node b that has one; ``nodes`` has distinct prints ``node``."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for prints, group in _grouped(batches):
+            best = closest(prints.view(np.uint64), group, radius)
+            found = np.flatnonzero(best >= 0)
+            if len(found):
+                a, b = prints[best[found]], prints[found]
+                differ = np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(differ)], ["a", "b", "differ"])
+
+    dealt = _dealt(nodes, radius, match, tile).repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    near = dealt.mapInArrow(compare, "a long, b long, differ int")
+    return near.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, ascending number of each one's cell) of stretches of sorted rows."""
+    for block in _whole_cells(batches, _CELL):
+        prints = block.pop("node")
+        change = np.zeros(len(prints), bool)
+        for c in block.values():
+            change[1:] |= c[1:] != c[:-1]
+        yield prints, np.cumsum(change)
 
 
 def _whole_cells(batches, cell, rows: int = 1 << 16):

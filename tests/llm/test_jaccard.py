@@ -82,6 +82,38 @@ def test_order_rounds_and_tiles_change_nothing(spark, edited, monkeypatch, optio
     assert sorted(got) == slow_kept(edited)
 
 
+def test_stage_compares_fingerprints_first(spark, edited, monkeypatch):
+    """Most links come from fingerprints within the radius, and only after a check of the whole sets."""
+    taken = []
+    closest, verified = jaccard.simhash.closest_before, jaccard._verified
+
+    def spy(nodes, radius, *rest):
+        taken.append((nodes.count(), radius))
+        return closest(nodes, radius, *rest)
+
+    def kept(pairs, members):
+        out = verified(pairs, members)
+        taken.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard.simhash, "closest_before", spy)
+    monkeypatch.setattr(jaccard, "_verified", kept)
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == slow_kept(edited)
+    (nodes, radius), (pairs, links), *later = taken
+    assert nodes > 100 and radius == jaccard.RADIUS
+    assert len(edited) - len(got) > links > sum(n for _, n in later) and pairs >= links
+
+
+@pytest.mark.parametrize("radius", [0, 3, 20])
+def test_radius_changes_nothing(spark, edited, monkeypatch, radius):
+    """What fingerprints miss is found by shingles; what they bring wrongly is not linked."""
+    monkeypatch.setattr(jaccard, "RADIUS", radius)
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in jaccard.near_copies(docs).collect()} == set(slow_kept(edited))
+
+
 def test_bitmaps_never_rule_out_similar_sets():
     rng = np.random.default_rng(4)
     ruled_out = 0

@@ -82,6 +82,45 @@ def test_no_link_is_lost(spark, match, tile):
     assert (label == slow_components(p.view(np.uint64))).all()
 
 
+def slow_closest(p, radius):
+    """The place of the closest before each within the radius, the first of equally close ones, or -1."""
+    apart = np.bitwise_count(p[:, None] ^ p[None, :]).astype(int)
+    apart[np.triu_indices(len(p))] = 99
+    best = apart.argmin(axis=1)
+    return np.where(apart[np.arange(len(p)), best] <= radius, best, -1)
+
+
+@pytest.mark.parametrize("radius", [0, 4, 8])
+def test_closest_before(radius):
+    p = np.random.default_rng(radius).permutation(clustered(np.random.default_rng(radius), 700))
+    assert not len(simhash.closest(p[:0], np.zeros(0, int), radius))
+    for n in (1, 64, 65, 700):
+        part = p[:n]
+        assert (simhash.closest(part, np.zeros(len(part), int), radius) == slow_closest(part, radius)).all()
+    half = len(p) // 2
+    want = [slow_closest(p[:half], radius), slow_closest(p[half:], radius)]
+    want[1] = np.where(want[1] < 0, -1, want[1] + half)
+    assert (simhash.closest(p, (np.arange(len(p)) >= half).astype(int), radius) == np.concatenate(want)).all()
+
+
+@pytest.mark.parametrize("match,tile", [(1, 4096), (1, 20), (2, 30)])
+def test_closest_of_a_table(spark, match, tile):
+    """Neither the choice of blocks nor the tiles of hot keys change the pairs."""
+    p = np.sort(clustered(np.random.default_rng(9), 500).view(np.int64))
+    best = slow_closest(p.view(np.uint64), 8)
+    want = sorted((int(p[a]), int(p[b])) for b, a in enumerate(best) if a >= 0)
+    nodes = spark.createDataFrame([(int(x),) for x in p], "node long").repartition(4)
+    assert sorted(map(tuple, simhash.closest_before(nodes, 8, match, tile).collect())) == want
+
+
+def test_fingerprint_of_hashes():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 70_000):
+        hashes = rng.integers(0, 2**64, n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > n)
+        assert simhash.of_hashes(hashes) == want
+
+
 def test_odd_rows(spark, odd_rows, no_rows):
     got = simhash.near_copies(odd_rows)
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
